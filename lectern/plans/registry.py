@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lectern.plans import nested_records
+
+_MODULES = [nested_records]
+
 
 def queries():
-    return {}
+    return {name: f for m in _MODULES for name, f in m.queries().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
