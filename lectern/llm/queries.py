@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from lectern.llm import papers
+from lectern.llm import appearance, papers, professors
 
 
 def queries():
-    return {"p7_found": papers.p7_found, "p7_selected": papers.p7_selected}
+    return {
+        "p1_found": professors.p1_found, "p1_report": professors.p1_report, "p1_sample": professors.p1_sample,
+        "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
+        "p10_found": appearance.p10_found, "p10_classes": appearance.p10_classes, "p10_forms": appearance.p10_forms,
+    }
 
 
 def oracle_sql():
     return {
+        "p1_found": professors.P1_FOUND_ORACLE,
         "p7_found": papers.P7_ORACLE.format(columns="professor_id, paper_id"),
         "p7_selected": papers.P7_ORACLE.format(columns="professor_id, paper_id, complexity_score"),
+        "p10_found": appearance.P10_FOUND_ORACLE,
     }
