@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm.lookalike import CYRILLIC, FULL_WIDTH, GREEK, INVISIBLE, LIGATURES, SPACES, lookalike_classes, lookalike_pairs, plain_form
 from lectern.sources.tables import table
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

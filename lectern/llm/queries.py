@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import appearance, claims, papers, professors
+from lectern.llm import abstracts, appearance, claims, papers, professors
 
 
 def queries():
     return {
         "p1_found": professors.p1_found, "p1_report": professors.p1_report, "p1_sample": professors.p1_sample,
         "p3_found": claims.p3_found, "p3_consensus": claims.p3_consensus, "p3_annotators": claims.p3_annotators,
+        "p4_found": abstracts.p4_found, "p4_levels": abstracts.p4_levels, "p4_profile": abstracts.p4_profile,
         "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
         "p10_found": appearance.p10_found, "p10_classes": appearance.p10_classes, "p10_forms": appearance.p10_forms,
     }

@@ -99,6 +99,6 @@ def sample_report(records: DataFrame, chosen: DataFrame, targets: DataFrame, poo
     keys = [pool, "dimension", "category"]
     out = targets.join(counts(records, "available"), keys, "left").join(counts(chosen, "drawn"), keys, "left").fillna(0, ["available", "drawn"])
     return out.withColumns({
-        "unmet": F.col("available") < F.col("target_count"), "short_of_target": F.greatest(F.col("target_count") - F.col("drawn"), F.lit(0)),
+        "unmet": (F.col("available") < F.col("target_count")) & (F.col("drawn") < F.col("target_count")), "short_of_target": F.greatest(F.col("target_count") - F.col("drawn"), F.lit(0)),
         "minimum_met": F.col("drawn") >= F.least("minimum_count", "available"), "drawn_share": F.try_divide(F.col("drawn").cast("double"), F.col("sample_size")),
     })
