@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import abstracts, appearance, claims, papers, professors
+from lectern.llm import abstracts, appearance, claims, duplicates, papers, professors
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "p1_found": professors.p1_found, "p1_report": professors.p1_report, "p1_sample": professors.p1_sample,
         "p3_found": claims.p3_found, "p3_consensus": claims.p3_consensus, "p3_annotators": claims.p3_annotators,
         "p4_found": abstracts.p4_found, "p4_levels": abstracts.p4_levels, "p4_profile": abstracts.p4_profile,
+        "p6_found": duplicates.p6_found, "p6_groups": duplicates.p6_groups,
         "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
         "p10_found": appearance.p10_found, "p10_classes": appearance.p10_classes, "p10_forms": appearance.p10_forms,
     }
@@ -18,6 +19,7 @@ def queries():
 def oracle_sql():
     return {
         "p1_found": professors.P1_FOUND_ORACLE,
+        "p6_found": duplicates.P6_FOUND_ORACLE,
         "p7_found": papers.P7_ORACLE.format(columns="professor_id, paper_id"),
         "p7_selected": papers.P7_ORACLE.format(columns="professor_id, paper_id, complexity_score"),
         "p10_found": appearance.P10_FOUND_ORACLE,
