@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import abstracts, appearance, claims, duplicates, papers, professors
+from lectern.llm import abstracts, appearance, claims, corpus, duplicates, papers, professors
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "p4_found": abstracts.p4_found, "p4_levels": abstracts.p4_levels, "p4_profile": abstracts.p4_profile,
         "p6_found": duplicates.p6_found, "p6_groups": duplicates.p6_groups,
         "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
+        "p8_found": corpus.p8_found, "p8_packing": corpus.p8_packing, "p8_fill": corpus.p8_fill,
+        "p9_found": corpus.p9_found, "p9_report": corpus.p9_report, "p9_mix": corpus.p9_mix,
         "p10_found": appearance.p10_found, "p10_classes": appearance.p10_classes, "p10_forms": appearance.p10_forms,
     }
 
