@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import abstracts, appearance, claims, corpus, duplicates, papers, professors
+from lectern.llm import abstracts, appearance, claims, corpus, duplicates, papers, people, professors
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "p1_found": professors.p1_found, "p1_report": professors.p1_report, "p1_sample": professors.p1_sample,
         "p3_found": claims.p3_found, "p3_consensus": claims.p3_consensus, "p3_annotators": claims.p3_annotators,
         "p4_found": abstracts.p4_found, "p4_levels": abstracts.p4_levels, "p4_profile": abstracts.p4_profile,
+        "p5_found": people.p5_found, "p5_people": people.p5_people,
         "p6_found": duplicates.p6_found, "p6_groups": duplicates.p6_groups,
         "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
         "p8_found": corpus.p8_found, "p8_packing": corpus.p8_packing, "p8_fill": corpus.p8_fill,
