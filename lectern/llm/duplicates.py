@@ -17,12 +17,12 @@ ABSTRACT_RUN = 3
 
 def _works(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "works_page").select(F.regexp_extract(bare_id("id"), r"(\d+)$", 1).try_cast("long").alias("record"), "title", "publication_year", "retrieved_at", "row_id")
-    return materialize(latest(w.filter("record IS NOT NULL"), ["record"], ["retrieved_at", "row_id"], ["title", "publication_year"]).filter("title IS NOT NULL AND publication_year IS NOT NULL"), "dup-works")
+    return latest(w.filter("record IS NOT NULL"), ["record"], ["retrieved_at", "row_id"], ["title", "publication_year"]).filter("title IS NOT NULL AND publication_year IS NOT NULL")
 
 
 def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "evidence_papers").select("paper_key", "abstract", "retrieved_at").filter("paper_key IS NOT NULL")
-    return materialize(latest(e, ["paper_key"], ["retrieved_at"], ["abstract"]).filter("abstract IS NOT NULL"), "dup-abstracts")
+    return latest(e, ["paper_key"], ["retrieved_at"], ["abstract"]).filter("abstract IS NOT NULL")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

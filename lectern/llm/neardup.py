@@ -20,6 +20,7 @@ more than the classes that share its rare tokens; no pairs within a bucket are l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -94,24 +95,24 @@ def _postings(counts, threshold: float, words: int, banded: bool):
     return run, "key long, h long, n int, at int, second int, " + ", ".join(f"s{i} long" for i in range(words))
 
 
-def ring_condition(a: list[Column], b: list[Column], tau: Column, parts: int) -> Column:
-    """Some segment starts chains of every length l that differ in at most l * tau / m bits.
+def ring_condition(a: list[Column], b: list[Column], tau: Column, parts: int, chains: tuple[int, ...] = (1, 2)) -> Column:
+    """Some segment starts chains of these lengths that differ in at most l * tau / m bits, and so does the whole ring.
 
-    ``a`` and ``b`` are the 64-bit words of both rings; each word is ``parts`` segments, m in all.
+    ``a`` and ``b`` are the 64-bit words of both rings; each word is ``parts`` segments, m in all.  The short chains
+    are tried first because they decide nearly all pairs on a few bit counts; chains of every length at once would
+    make a method too long for the JVM to compile.
     """
     width = 64 // parts
     mask = F.lit((1 << width) - 1).cast("long")
     d = [F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), p * width).bitwiseAND(mask) if parts > 1 else x.bitwiseXOR(y)) for x, y in zip(a, b) for p in range(parts)]
     m, starts = len(d), None
     for i in range(m):
-        total, chain = None, None
-        for length in range(1, m + 1):
-            step = d[(i + length - 1) % m]
-            total = step if total is None else total + step
-            within = total * m <= tau * length
+        chain = None
+        for length in chains:
+            within = reduce(Column.__add__, [d[(i + j) % m] for j in range(length)]) * m <= tau * length
             chain = within if chain is None else chain & within
         starts = chain if starts is None else starts | chain
-    return starts
+    return starts & (reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]) <= tau)
 
 
 def similar_classes(records: DataFrame, threshold: float, label: str, words: int, band_width: int | None = None) -> DataFrame:
@@ -158,8 +159,9 @@ def near_duplicate_pairs(df: DataFrame, key: str, tokens: Column, threshold: flo
     """
     cut = df.select(F.col(key).alias("id"), tokens.alias("tokens"), (F.lit(0) if band is None else band).cast("long").alias("band"))
     records = cut.filter("id IS NOT NULL AND band IS NOT NULL AND size(tokens) > 0").withColumn("h", F.xxhash64(F.array_sort("tokens")))
+    records = materialize(records, f"{label}-records")  # four steps read the token sets
     pairs = similar_classes(records, threshold, label, words, None if band is None else 1)
-    members = materialize(records.select("h", "id", "band").distinct(), f"{label}-members")
+    members = records.select("h", "id", "band").distinct()
     same = members.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b"))
     links = materialize(pairs.unionByName(same), f"{label}-links")
     left = links.join(members.select(F.col("h").alias("h_a"), F.col("id").alias("x"), F.col("band").alias("bx")), "h_a")
