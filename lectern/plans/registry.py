@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import claim_metrics, nested_records
+from lectern.plans import claim_metrics, nested_records, portfolios, ranking, texts
 
-_MODULES = [claim_metrics, nested_records]
+_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios]
 
 
 def queries():
