@@ -113,7 +113,7 @@ def synthesis_difficulty(spark, d):
     e, c, v, m = topic_entropy(spark, d), pairwise_coherence(spark, d), temporal_evolution(spark, d), complexity_distribution(spark, d)
     j = m.join(e, "professor_id", "left").join(c, "professor_id", "left").join(v, "professor_id", "left")
     x = P.weighted_available_mean({"entropy": ("entropy", 0.3), "incoherence": (1 - F.col("coherence"), 0.3), "complexity": (F.col("mean") / 100, 0.2), "evolution": ("evolution", 0.2)})["value"]
-    return j.select("professor_id", F.round(x, 5).alias("difficulty"), P.tier(F.round(x, 5), 0.33, 0.67).alias("tier"))
+    return j.select("professor_id", F.round(x, 7).alias("difficulty"), P.tier(F.round(x, 7), 0.33, 0.67).alias("tier"))
 
 
 def collaboration(spark, d):
@@ -192,9 +192,9 @@ def oracle_sql():
         "oa_status_counts": "SELECT CASE WHEN (open_access.is_oa AND open_access.oa_status = 'closed') OR (NOT open_access.is_oa AND open_access.oa_status <> 'closed') THEN NULL ELSE open_access.oa_status END AS oa_status, count(*) AS n_works FROM works_page GROUP BY 1",
         "evidence_completeness": f"WITH {PAPERS_SQL} SELECT professor_id, round(({' + '.join(b.format(x) for x in ('trim(topic_ids) <> %s' % repr(''), 'trim(method_tags) <> %s' % repr(''), 'publication_year IS NOT NULL', 'complexity_score IS NOT NULL', 'abstract_available'))}) / 5, 9) AS completeness FROM pp GROUP BY professor_id",
         "visibility": f"WITH {PAPERS_SQL} SELECT professor_id, round(avg(CASE WHEN NOT isnan(citation_percentile_field_year) AND citation_percentile_field_year BETWEEN 0 AND 100 THEN citation_percentile_field_year END) / 100, 9) AS visibility FROM pp GROUP BY professor_id",
-        "synthesis_difficulty": f"""WITH {PAPERS_SQL}, {_T}, {_LV}, e AS ({_ENT.format(c='topic', f='tp')}), c AS ({coh}), v AS ({evo}), m AS (SELECT professor_id, avg(complexity_score) / 100 AS m FROM pp GROUP BY ALL),
-            j AS (SELECT professor_id, e.e AS a1, 1 - c.c AS a2, m.m AS a3, v.v AS a4 FROM m LEFT JOIN e USING (professor_id) LEFT JOIN c USING (professor_id) LEFT JOIN v USING (professor_id)),
-            x AS (SELECT professor_id, round((coalesce(.3 * a1, 0) + coalesce(.3 * a2, 0) + coalesce(.2 * a3, 0) + coalesce(.2 * a4, 0))::DOUBLE / nullif((a1 IS NOT NULL)::INT * .3::DOUBLE + (a2 IS NOT NULL)::INT * .3::DOUBLE + (a3 IS NOT NULL)::INT * .2::DOUBLE + (a4 IS NOT NULL)::INT * .2::DOUBLE, 0), 5) AS difficulty FROM j)
+        "synthesis_difficulty": f"""WITH {PAPERS_SQL}, {_T}, {_LV}, e AS ({_ENT.format(c='topic', f='tp')}), c AS ({coh}), v AS ({evo}), m AS (SELECT professor_id, avg(complexity_score) AS m FROM pp GROUP BY ALL),
+            j AS (SELECT professor_id, round(e.e, 9) AS a1, 1 - round(c.c, 9) AS a2, round(m.m, 9) / 100 AS a3, round(v.v, 9) AS a4 FROM m LEFT JOIN e USING (professor_id) LEFT JOIN c USING (professor_id) LEFT JOIN v USING (professor_id)),
+            x AS (SELECT professor_id, round((coalesce(.3 * a1, 0) + coalesce(.3 * a2, 0) + coalesce(.2 * a3, 0) + coalesce(.2 * a4, 0))::DOUBLE / nullif((a1 IS NOT NULL)::INT * .3::DOUBLE + (a2 IS NOT NULL)::INT * .3::DOUBLE + (a3 IS NOT NULL)::INT * .2::DOUBLE + (a4 IS NOT NULL)::INT * .2::DOUBLE, 0), 7) AS difficulty FROM j)
             SELECT professor_id, difficulty, CASE WHEN difficulty < .33 THEN 'low' WHEN difficulty < .67 THEN 'medium' WHEN difficulty IS NOT NULL THEN 'high' END AS tier FROM x""",
         "collaboration": """WITH w AS (SELECT regexp_extract(id, '([^/]+)/*$', 1) AS work, authorships, row_number() OVER (PARTITION BY regexp_extract(id, '([^/]+)/*$', 1) ORDER BY retrieved_at DESC, row_id DESC) AS rn FROM works_page),
             x AS (SELECT work, unnest(authorships) AS a FROM w WHERE rn = 1), a AS (SELECT DISTINCT work, regexp_extract(a.author.id, '([^/]+)/*$', 1) AS author FROM x WHERE regexp_extract(a.author.id, '([^/]+)/*$', 1) <> ''),

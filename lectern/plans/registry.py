@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import claim_metrics, nested_records, portfolios, ranking, texts
+from lectern.plans import claim_metrics, nested_records, portfolios, ranking, relations, texts
 
-_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios]
+_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios, relations]
 
 
 def queries():
