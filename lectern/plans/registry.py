@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import claim_metrics, nested_records, portfolios, ranking, relations, texts
+from lectern.plans import claim_metrics, experiments, nested_records, portfolios, ranking, relations, texts
 
-_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios, relations]
+_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios, relations, experiments]
 
 
 def queries():
