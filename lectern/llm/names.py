@@ -176,10 +176,11 @@ def similar_families(units: DataFrame) -> DataFrame:
     """(family_a, family_b, initial, s_family) of units (family, initial) that met in a band and are within one error; equal ones too."""
     n_bands = bands_for(LEAST_SIMILARITY, RECALL, ROWS)
     p = units.mapInArrow(_bands(n_bands), "key long, family string, initial string").repartition("key")
-    a, b = p.select("key", "initial", F.col("family").alias("family_a")), p.select("key", F.col("initial").alias("initial_b"), F.col("family").alias("family_b"))
+    # The key holds the initial already; as a second join key it would only cause another exchange.
+    a, b = p.select("key", "initial", F.col("family").alias("family_a")), p.select("key", F.col("family").alias("family_b"))
     d = F.levenshtein("family_a", "family_b")
     size = F.greatest(F.length("family_a"), F.length("family_b"))
-    met = a.join(b, "key").filter((F.col("family_a") < F.col("family_b")) & (F.col("initial") == F.col("initial_b")) & (F.abs(F.length("family_a") - F.length("family_b")) <= 1) & (d <= 2))
+    met = a.join(b, "key").filter((F.col("family_a") < F.col("family_b")) & (F.abs(F.length("family_a") - F.length("family_b")) <= 1) & (d <= 2))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     swapped = (d == 2) & (letters("family_a") == letters("family_b"))
     close = met.filter((size >= 5) & ((d == 1) | swapped | ((d == 2) & (size >= 12)))).select("family_a", "family_b", "initial", (1 - F.when(swapped, 1).otherwise(d) / size).alias("s_family")).distinct()
