@@ -62,16 +62,16 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     ``text_id`` tells the exact texts apart, ``class_id`` the classes; ``canonical_key`` is the smallest key of the
     canonical text (the one that is its own mapped form, else the one of smallest key).
 
-    Defined results: a null text belongs to no class; empty texts, and texts of nothing but invisible characters and
+    Defined results: a null text, or one under a null key, belongs to no class; empty texts, and texts of nothing but invisible characters and
     spaces, look alike and form one class; exact copies have one ``text_id`` and are a class only together with a
     differing text; texts of any length are compared whole; an empty frame gives an empty one; other columns of
     ``df`` are ignored, whatever their names.
     """
-    base = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
-    base = base.withColumns({"s": skeleton("t")}).withColumns({"b": block(F.col("s")), "text_id": F.md5("t")})
-    narrow = base.groupBy("b").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi"))
-    blocks = materialize(narrow.filter("lo <> hi").select("b"), "lookalike-blocks")
-    near = base.join(blocks, "b", "left_semi")
+    base = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull()).withColumn("text_id", F.md5("t"))
+    narrow = materialize(base.select("k", "text_id", block(skeleton("t")).alias("b")), "lookalike-blocks")
+    several = narrow.groupBy("b").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo <> hi").select("b")
+    near_keys = materialize(narrow.join(several, "b", "left_semi").select("k", "text_id").distinct(), "lookalike-near")
+    near = base.join(near_keys, ["k", "text_id"]).withColumn("s", skeleton("t"))
     texts = near.groupBy("text_id").agg(F.min("k").alias("first_key"), F.first("s").alias("s"), F.bool_or(F.col("s") == F.col("t")).alias("plain"))
     texts.createOrReplaceTempView("lectern_lookalike_texts")
     classes = df.sparkSession.sql(
@@ -82,7 +82,7 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
         """
     )
     members = materialize(classes.select("canonical_key", F.col("canonical_text").alias("class_id"), F.explode("members").alias("text_id")), "lookalike-members")
-    return near.select("k", "text_id").join(members, "text_id").select(F.col("k").alias(key), "text_id", "class_id", "canonical_key")
+    return near_keys.join(members, "text_id").select(F.col("k").alias(key), "text_id", "class_id", "canonical_key")
 
 
 def lookalike_pairs(members: DataFrame, key: str) -> DataFrame:
