@@ -48,8 +48,10 @@ def annotator_reliability(votes: DataFrame, n_labels: int) -> DataFrame:
     """(annotator, votes, accuracy) of ``votes(item, annotator, label)``, at most one row per item and annotator.
 
     Defined results: an annotator who shares no item with annotators of at least two other pools gets the mean
-    accuracy; one who agrees less than chance gets an accuracy below chance, and so negative weight.
+    accuracy; one who agrees less than chance gets an accuracy below chance, and so negative weight.  Votes with a null
+    in any of the three columns don't count; no votes give an empty frame; further columns are ignored.
     """
+    votes = votes.select("item", "annotator", "label").dropna()
     pooled = votes.withColumn("pool", F.pmod(F.xxhash64("annotator"), F.lit(POOLS)).cast("int"))
     cells = pooled.groupBy("item", F.col("pool").alias("other"), F.col("label").alias("their_label")).agg(F.count("*").alias("n"))
     met = pooled.join(cells, "item").filter(F.col("pool") != F.col("other"))
@@ -74,8 +76,10 @@ def consensus(votes: DataFrame, reliability: DataFrame, n_labels: int) -> DataFr
     """(item, label, n_votes, agreement, confidence) per item.
 
     ``agreement`` is the share of agreeing pairs among an item's votes (null for a single vote); ``confidence`` the
-    posterior of the label among those voted for.  Equal scores are settled by the smaller label.
+    posterior of the label among those voted for.  Equal scores are settled by the smaller label.  Votes with a null
+    in any column don't count, nor do votes of annotators without a reliability; no votes give an empty frame.
     """
+    votes = votes.select("item", "annotator", "label").dropna()
     prior = votes.groupBy("label").agg(F.count("*").alias("in_all")).withColumn("prior", F.log(F.col("in_all") / votes.count())).select("label", "prior")
     weight = F.log(F.col("accuracy") * (n_labels - 1) / (1 - F.col("accuracy")))
     scored = votes.join(reliability.select("annotator", weight.alias("w")), "annotator")

@@ -73,8 +73,9 @@ def mix(documents: DataFrame, targets: pd.DataFrame, key: str, seed: int = 7) ->
 
     Defined results: documents of no named source (null too) and documents without tokens are left out; a named source
     without documents is short of its whole target; repeated keys are separate documents with equal chances; an empty
-    frame gives an empty mix; targets must name a source once.
+    frame gives an empty mix; further columns are ignored; targets must name a source once.
     """
+    documents = documents.select(key, "source", "lang", "topic", "n_tokens")
     named = documents.join(F.broadcast(documents.sparkSession.createDataFrame(targets[["source"]].drop_duplicates())), "source", "left_semi")  # a row per target
     cells = named.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")).toPandas()
     plan = rake(cells, targets)

@@ -59,7 +59,13 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, key: str, pool: st
     than its sample size is taken whole; the key must be unique, equal keys are separate records with equal places;
     empty frames give an empty sample; further columns of ``records`` are ignored, whatever their names.
     """
-    base = records.select(key, pool, *dimensions).filter(F.col(pool).isNotNull())
+    names, given = [pool, *dimensions], key
+    records = records.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__d{i}") for i, c in enumerate(names)])
+    targets = targets.select(F.col(pool).alias("__d0"), "dimension", "category", "sample_size", "target_share", "minimum_count")
+    named_as = {c: f"__d{i}" for i, c in enumerate(names)}
+    targets = targets.replace(named_as, subset=["dimension"])
+    key, pool, dimensions = "__key", "__d0", [f"__d{i + 1}" for i in range(len(dimensions))]
+    base = records.filter(F.col(pool).isNotNull())
     sizes = targets.filter(F.col(pool).isNotNull()).groupBy(pool).agg(F.max("sample_size").alias("sample_size"))
     cells = base.groupBy(pool, *dimensions).agg(F.count("*").alias("available")).join(sizes, pool)
     for d in dimensions:
@@ -85,7 +91,8 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, key: str, pool: st
         floor = floor | (F.col(d).isNotNull() & (rank <= F.coalesce(F.col(f"minimum_{d}"), F.lit(0))))
     ranked = ranked.withColumn("is_floor", floor)
     seat = F.row_number().over(Window.partitionBy(pool).orderBy(F.desc("is_floor"), "priority", "r", key))
-    return ranked.withColumn("seat", seat).filter(F.col("seat") <= F.col("sample_size")).select(key, *same_cell, "priority", "is_floor", "seat")
+    kept = ranked.withColumn("seat", seat).filter(F.col("seat") <= F.col("sample_size"))
+    return kept.select(F.col(key).alias(given), *[F.col(f"__d{i}").alias(c) for i, c in enumerate(names)], "priority", "is_floor", "seat")
 
 
 def sample_report(records: DataFrame, chosen: DataFrame, targets: DataFrame, pool: str, dimensions: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class LoserTree:
@@ -143,15 +144,15 @@ def top_n_per_group(df: DataFrame, group: str, score: Column | str, tie: str, n:
 
     Defined results: rows with a null group, a null tie key, or a score that is null or NaN take no part; rows
     equal in group, score and tie key count as separate items; an empty frame gives an empty frame with the same
-    columns; extra columns travel along whatever their names (three working columns beginning with ``__`` are
-    added inside and removed again).  ``group`` and ``tie`` are compared by code point, ``score`` as a double.
+    columns; extra columns travel along whatever their names.  ``group`` and ``tie`` are compared by code point, ``score`` as a double.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     s = (F.col(score) if isinstance(score, str) else score).cast("double")
-    keyed = df.withColumns({"__g": F.col(group), "__s": -s, "__t": F.col(tie)}).filter(F.col("__g").isNotNull() & F.col("__t").isNotNull() & s.isNotNull() & ~F.isnan(s))
+    own = [f"c{i}" for i in range(len(df.columns))]  # the frame's own names can be anything
+    picked = df.select(F.col(group).alias("__g"), (-s).alias("__s"), F.col(tie).alias("__t"), "*")
+    keyed = picked.toDF("__g", "__s", "__t", *own).filter("__g IS NOT NULL AND __t IS NOT NULL AND __s IS NOT NULL AND NOT isnan(__s)")
     runs = keyed.sortWithinPartitions("__g", "__s", "__t")
-    schema = keyed.schema
-    heads = runs.mapInArrow(_run_head(n, "__g"), "__run int, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
-    merged = heads.repartition(F.col("__g")).mapInArrow(_merge(n, df.columns), df.schema)
-    return merged
+    heads = runs.mapInArrow(_run_head(n, "__g"), T.StructType([T.StructField("__run", T.IntegerType()), *keyed.schema.fields]))
+    merged = heads.repartition(F.col("__g")).mapInArrow(_merge(n, own), T.StructType(keyed.select(*own).schema.fields))
+    return merged.toDF(*df.columns)
