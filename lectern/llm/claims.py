@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.columns import clean, squeeze
+from lectern.functions.columns import as_column, clean, squeeze
 from lectern.llm.consensus import annotator_reliability, consensus
 from lectern.sources.tables import table
 from lectern.storage import materialize
@@ -17,8 +17,8 @@ LABELS = ("supported", "partially_supported", "overstated", "unsupported", "cont
 
 
 def label(c: Column | str) -> Column:
-    """A free spelling to its label, letters only and with at most one typing error; anything else is null."""
-    s = squeeze(c)
+    """A free spelling to its label, letters only (a slash read as "or") and with at most one typing error; else null."""
+    s = squeeze(F.replace(as_column(c), F.lit("/"), F.lit("or")))
     return F.coalesce(
         *[F.when(s == name.replace("_", ""), name) for name in LABELS],
         *[F.when(F.levenshtein(s, F.lit(name.replace("_", ""))) <= 1, name) for name in LABELS],
