@@ -68,11 +68,11 @@ def containing_names(texts: DataFrame, key: str, text: str, names: DataFrame, na
         return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
     wanted = names.select(F.col(name).alias("name"), ws(name).alias("w")).filter((F.size("w") >= 1) & (F.size("w") <= most_words))
-    wanted = wanted.withColumn("k", F.array_join("w", " ")).filter(F.length("k") >= least_letters).select("name", "k").distinct()
-    t = texts.select(key, ws(text).alias("w"))
+    wanted = wanted.withColumn("run", F.array_join("w", " ")).filter(F.length("run") >= least_letters).select("name", "run").distinct()
+    t = texts.select(F.col(key).alias("of"), ws(text).alias("w"))
 
     def runs(n: int) -> Column:
         return F.transform(F.slice("w", 1, F.greatest(F.size("w") - n + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, n)]))
 
-    grams = t.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))).alias("k"))
-    return grams.join(wanted, "k").select(key, "name").distinct()
+    grams = t.select("of", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))).alias("run"))
+    return grams.join(wanted, "run").select(F.col("of").alias(key), "name").distinct()

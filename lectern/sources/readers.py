@@ -59,7 +59,8 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> tup
 
 def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str]) -> DataFrame:
     """(path, text) of all files below ``path`` with one of the suffixes."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # Not the text source: with its one column pruned away (a count) it counts lines instead of files.
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("content").cast("string").alias("text"))
     return df.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
 
 

@@ -1,7 +1,7 @@
 """A data source that replays stored pages: ``spark.read.format("stored_pages")``, batch or streaming.
 
 The offset of the stream is the number of the last page taken, as a cursor is for the service the pages came from.
-Options: ``path`` (a folder of JSON files, one page each, in order of name) and ``pages_per_batch``.
+Options: ``path`` (a folder of JSON files, one page each, in order of name) and ``pages_per_task``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import glob
 import json
 import os
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "page_number long, file_name string, request_hash string, payload string"
 
@@ -35,7 +35,14 @@ class _Reader(DataSourceReader):
         yield from _rows([self.files[partition.value]], partition.value)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Slice(InputPartition):
+    def __init__(self, first: int, files: list[str]) -> None:
+        self.first, self.files = first, files
+
+
+class _Stream(DataSourceStreamReader):
+    """A batch is all pages that have come in, read in slices of ``most`` pages by different tasks."""
+
     def __init__(self, path: str, most: int) -> None:
         self.path, self.most = path, most
 
@@ -45,12 +52,15 @@ class _Stream(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"page": 0}
 
-    def read(self, start):
-        files = self._files()[start["page"] : start["page"] + self.most]
-        return iter(list(_rows(files, start["page"]))), {"page": start["page"] + len(files)}
+    def latestOffset(self):
+        return {"page": len(self._files())}
 
-    def readBetweenOffsets(self, start, end):
-        return _rows(self._files()[start["page"] : end["page"]], start["page"])
+    def partitions(self, start, end):
+        files = self._files()
+        return [_Slice(i, files[i : min(i + self.most, end["page"])]) for i in range(start["page"], end["page"], self.most)]
+
+    def read(self, partition):
+        yield from _rows(partition.files, partition.first)
 
     def commit(self, end):
         pass
@@ -67,8 +77,8 @@ class StoredPages(DataSource):
     def reader(self, schema):
         return _Reader(sorted(glob.glob(os.path.join(self.options["path"], "*.json"))))
 
-    def simpleStreamReader(self, schema):
-        return _Stream(self.options["path"], int(self.options.get("pages_per_batch", "10")))
+    def streamReader(self, schema):
+        return _Stream(self.options["path"], int(self.options.get("pages_per_task", "10")))
 
 
 def page_cursor(payload: str) -> str | None:

@@ -10,13 +10,13 @@ from lectern.sources.replay import StoredPages
 from lectern.sources.sinks import append_pages
 
 
-def collect_pages(spark: SparkSession, path: str, table: str, checkpoint: str, pages_per_batch: int = 10) -> StreamingQuery:
+def collect_pages(spark: SparkSession, path: str, table: str, checkpoint: str, pages_per_task: int = 10) -> StreamingQuery:
     """Take all stored pages into ``table``; a later call goes on behind the last page taken.
 
     Delivery is at least once, and a page already stored is recognised by its request, so every page is there once.
     """
     spark.dataSource.register(StoredPages)
-    stream = spark.readStream.format("stored_pages").option("path", path).option("pages_per_batch", pages_per_batch).load()
+    stream = spark.readStream.format("stored_pages").option("path", path).option("pages_per_task", pages_per_task).load()
     stamped = stream.withColumn("checksum", F.sha2("payload", 256))
     return stamped.writeStream.foreachBatch(lambda df, _: append_pages(df, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
