@@ -64,7 +64,7 @@ def _grams(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_features(spark, d):
     """Words, sentences and syllables of every document; documents without a word are left out."""
-    f = _documents(spark, d).select("doc_id", F.size("ws").alias("n_words"), X.sentence_count("text").alias("n_sentences"), X.syllable_count(F.col("ws")).alias("n_syllables"))
+    f = _documents(spark, d).select("doc_id", F.size("ws").alias("n_words"), X.sentence_count("text").alias("n_sentences"), X.text_syllable_count("text").alias("n_syllables"))
     return f.filter("n_words > 0")
 
 

@@ -59,3 +59,10 @@ def test_json_in_replies_and_secrets(spark):
     assert one(spark, 'Sure:\n```json\n{"a": {"b": 2}}\n``` done', F.try_variant_get(X.json_object("t"), "$.a.b", "int")) == 2
     assert one(spark, "no json", X.json_object("t")) is None
     assert one(spark, "key sk-abcdefghij0123456789", X.any_secret("t")) and not one(spark, None, X.any_secret("t"))
+
+
+def test_syllables_of_a_text_are_those_of_its_words(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["agree tree le ye be the co-operate can't rhythm — café-crème b--c 'tis e é naïve style bye apple", "", "Ωμέγα straße  hme"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(X.text_syllable_count("t") != X.syllable_count(X.tokens("t"))).count() == 0
