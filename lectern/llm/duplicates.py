@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import bare_id, latest
-from lectern.llm.graph import connected_components
-from lectern.llm.neardup import distinct_shingles, distinct_words, near_duplicate_pairs
+from lectern.llm.neardup import distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs
 from lectern.sources.tables import table
-from lectern.storage import materialize
 
 TITLE_SHARE, ABSTRACT_SHARE = 0.7, 0.6
 ABSTRACT_RUN = 3
@@ -25,23 +23,23 @@ def _abstracts(spark: SparkSession, d: str) -> DataFrame:
     return latest(e, ["paper_key"], ["retrieved_at"], ["abstract"]).filter("abstract IS NOT NULL")
 
 
+def _titles(spark: SparkSession, d: str) -> dict:
+    return {"df": _works(spark, d), "key": "record", "tokens": distinct_words("title"), "threshold": TITLE_SHARE, "label": "dup-title", "words": 1, "band": F.col("publication_year")}
+
+
+def _texts(spark: SparkSession, d: str) -> dict:
+    return {"df": _abstracts(spark, d), "key": "paper_key", "tokens": distinct_shingles("abstract", ABSTRACT_RUN), "threshold": ABSTRACT_SHARE, "label": "dup-abstract", "words": 3}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    titles = near_duplicate_pairs(_works(spark, d), "record", distinct_words("title"), TITLE_SHARE, "dup-title", words=1, band=F.col("publication_year"))
-    texts = near_duplicate_pairs(_abstracts(spark, d), "paper_key", distinct_shingles("abstract", ABSTRACT_RUN), ABSTRACT_SHARE, "dup-abstract", words=3)
+    titles, texts = near_duplicate_pairs(**_titles(spark, d)), near_duplicate_pairs(**_texts(spark, d))
     return titles.select(F.lit("work").alias("record_type"), "id_a", "id_b").unionByName(texts.select(F.lit("abstract").alias("record_type"), "id_a", "id_b"))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per record in a group: its group (the smallest id of those linked, directly or not) and its links."""
-    pairs = materialize(p6_found(spark, d), "dup-pairs")
-    out = None
-    for kind in ("work", "abstract"):
-        own = pairs.filter(F.col("record_type") == kind)
-        degree = own.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-        groups = connected_components(own.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), f"dup-{kind}-groups")
-        part = groups.join(degree, "id").select(F.lit(kind).alias("record_type"), F.col("id").alias("record"), F.col("component").alias("group_id"), "n_links")
-        out = part if out is None else out.unionByName(part)
-    return out
+    titles, texts = near_duplicate_groups(**_titles(spark, d)), near_duplicate_groups(**_texts(spark, d))
+    return titles.select(F.lit("work").alias("record_type"), F.col("id").alias("record"), "group_id", "n_links").unionByName(texts.select(F.lit("abstract").alias("record_type"), F.col("id").alias("record"), "group_id", "n_links"))
 
 
 P6_FOUND_ORACLE = r"""

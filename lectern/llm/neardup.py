@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.graph import connected_components
 from lectern.storage import materialize
 
 #: Cells in which token frequencies are counted: 65,536 numbers reach the driver and the workers, at every size.
@@ -148,23 +149,54 @@ def similar_classes(records: DataFrame, threshold: float, label: str, words: int
     return full.filter(common / (F.size("ta") + F.size("tb") - common) >= F.lit(threshold)).select(F.col("a_h").alias("h_a"), F.col("b_h").alias("h_b"))
 
 
+def near_duplicate_classes(df: DataFrame, key: str, tokens: Column, threshold: float, label: str, words: int, band: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, links): ``node, id`` of all records with tokens, and ``node_a, node_b`` of similar nodes.
+
+    A node is one token set in one band: its members are equal and similar to each other, so a group of copies of any
+    size is one row among the links.  ``band`` (an integer expression) restricts links to bands at most 1 apart;
+    records with a null band are left out.
+    """
+    cut = df.select(F.col(key).alias("id"), tokens.alias("tokens"), (F.lit(0) if band is None else band).cast("long").alias("band"))
+    records = cut.filter("id IS NOT NULL AND band IS NOT NULL AND size(tokens) > 0").withColumn("h", F.xxhash64(F.array_sort("tokens")))
+    records = materialize(records, f"{label}-records")  # four steps read the token sets
+    pairs = similar_classes(records, threshold, label, words, None if band is None else 1)
+    node = F.xxhash64("h", "band")
+    members = records.select(node.alias("node"), "id").distinct()
+    nodes = materialize(records.select("h", "band", node.alias("node")).distinct(), f"{label}-nodes")
+    a, b = (nodes.select(F.col("h").alias(f"h_{x}"), F.col("band").alias(f"band_{x}"), F.col("node").alias(f"node_{x}")) for x in "ab")
+    links = pairs.join(a, "h_a").join(b, "h_b").filter(F.abs(F.col("band_a") - F.col("band_b")) <= 1).select("node_a", "node_b")
+    if band is not None:  # the same set one band later
+        later = nodes.select("h", (F.col("band") + 1).alias("band"), F.col("node").alias("node_a"))
+        links = links.unionByName(nodes.join(later, ["h", "band"]).select("node_a", F.col("node").alias("node_b")))
+    return members, materialize(links, f"{label}-links")
+
+
 def near_duplicate_pairs(df: DataFrame, key: str, tokens: Column, threshold: float, label: str, words: int, band: Column | None = None) -> DataFrame:
     """All pairs of records (``id_a < id_b``) whose token sets are similar, equal sets among them.
 
-    ``band`` (an integer expression) restricts pairs to bands at most 1 apart; records with a null band are left out.
-
     Defined results: records with a null key are left out; a record without tokens (null, empty or too short text)
     has no pair; a key that occurs in several rows counts once per distinct token set and band, and is never paired
     with itself; an empty frame gives no pairs; other columns of ``df`` are ignored, whatever their names.
     """
-    cut = df.select(F.col(key).alias("id"), tokens.alias("tokens"), (F.lit(0) if band is None else band).cast("long").alias("band"))
-    records = cut.filter("id IS NOT NULL AND band IS NOT NULL AND size(tokens) > 0").withColumn("h", F.xxhash64(F.array_sort("tokens")))
-    records = materialize(records, f"{label}-records")  # four steps read the token sets
-    pairs = similar_classes(records, threshold, label, words, None if band is None else 1)
-    members = records.select("h", "id", "band").distinct()
-    same = members.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b"))
-    links = materialize(pairs.unionByName(same), f"{label}-links")
-    left = links.join(members.select(F.col("h").alias("h_a"), F.col("id").alias("x"), F.col("band").alias("bx")), "h_a")
-    both = left.join(members.select(F.col("h").alias("h_b"), F.col("id").alias("y"), F.col("band").alias("by")), "h_b")
-    both = both.filter((F.abs(F.col("bx") - F.col("by")) <= 1) & (F.col("x") != F.col("y")))
+    members, links = near_duplicate_classes(df, key, tokens, threshold, label, words, band)
+    several = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
+    every = links.unionByName(several)
+    x, y = members.select(F.col("node").alias("node_a"), F.col("id").alias("x")), members.select(F.col("node").alias("node_b"), F.col("id").alias("y"))
+    both = every.join(x, "node_a").join(y, "node_b").filter("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(df: DataFrame, key: str, tokens: Column, threshold: float, label: str, words: int, band: Column | None = None) -> DataFrame:
+    """(id, group_id, n_links) of every record similar to another: the smallest id of its group, and its partners' number.
+
+    Linear in records and links of classes: copies are counted, never paired.
+    """
+    members, links = near_duplicate_classes(df, key, tokens, threshold, label, words, band)
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    both = links.select("node_a", "node_b").union(links.select("node_b", "node_a"))
+    around = both.join(sizes.select(F.col("node").alias("node_b"), "n"), "node_b").groupBy(F.col("node_a").alias("node")).agg(F.sum("n").alias("others"))
+    linked = sizes.join(around, "node", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("n") - 1).filter("n_links > 0")
+    groups = connected_components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), label).select(F.col("id").alias("node"), "component")
+    placed = materialize(linked.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{label}-placed")
+    first = placed.groupBy("component").agg(F.min("least").alias("group_id"))
+    return members.join(placed.select("node", "component", "n_links"), "node").join(first, "component").select("id", "group_id", "n_links")

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import connected_components
-from lectern.llm.neardup import distinct_shingles, distinct_words, near_duplicate_pairs, ring_condition
+from lectern.llm.neardup import distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs, ring_condition
 
 
 def words(rnd, n, vocabulary=60):
@@ -43,6 +43,26 @@ def test_against_brute_force(spark):
         assert {(r.id_a, r.id_b) for r in got.collect()} == brute(rows, threshold, banded)
 
 
+def test_groups_against_the_pairs(spark):
+    rows = sample(11) + [(500 + i, "same words here", 2003) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, t string, y int").repartition(4)
+    pairs = brute(rows, 0.7, True)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = {r.id: (r.group_id, r.n_links) for r in near_duplicate_groups(df, "id", distinct_words("t"), 0.7, "t", 1, F.col("y")).collect()}
+    assert {k: len(v) for k, v in near.items()} == {k: n for k, (_, n) in got.items()}
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        assert got[start][0] == min(seen)
+    assert near_duplicate_groups(df.filter(F.lit(False)), "id", distinct_words("t"), 0.7, "t", 1, F.col("y")).count() == 0
+
+
 def test_shingles_copies_and_a_very_long_text(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, "a b c d e"), (2, "A <i>b</i> c, d e!"), (3, "a b"), (4, long), (5, long + " tail"), (6, None), (1, "a b c d e")]
