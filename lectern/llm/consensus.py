@@ -4,10 +4,10 @@ With agreement rates corrected for chance, ``M_ij = z_i * z_j`` for annotators t
 ``z_i^2 = M_ij * M_ik / M_jk`` for every triplet.  To keep the work linear in the number of votes, annotators are
 hashed into a fixed number of pools and a triplet is (annotator, pool, pool): the identity holds for the mean of a
 pool as for one annotator.  ``z_i^2`` is the least-squares ratio over all pairs of other pools, weighted by the
-votes behind them; its sign is that of the annotator's agreement with everybody else.
+items behind them; its sign is that of the annotator's agreement with everybody else.  Every item counts the same,
+however many votes it has: hard items tend to get more votes, and by pairs they would outweigh all others.
 
-Votes are then added with log-odds weights ``ln(a (k-1) / (1-a))`` of the accuracies ``a``, on top of the log share
-of each label among all votes.
+Votes are then added with log-odds weights ``ln(a (k-1) / (1-a))`` of the accuracies ``a``.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _solver(pools: np.ndarray, weight: np.ndarray, chance: float, mean_z: float)
         n = np.zeros(POOLS)
         g = pdf["other"].to_numpy()
         n[g] = pdf["total"].to_numpy(float)
-        m[g] = (pdf["agree"].to_numpy(float) / np.maximum(n[g], 1) - chance) / (1 - chance)
+        m[g] = (pdf["agree"].to_numpy(float) / np.maximum(n[g], 1e-12) - chance) / (1 - chance)
         w = np.minimum(np.minimum(n[:, None], n[None, :]), weight)
         np.fill_diagonal(w, 0)
         top, bottom = float((w * np.outer(m, m) * pools).sum()), float((w * pools**2).sum())
@@ -52,10 +52,11 @@ def annotator_reliability(votes: DataFrame, n_labels: int) -> DataFrame:
     in any of the three columns don't count; no votes give an empty frame; further columns are ignored.
     """
     votes = votes.select("item", "annotator", "label").dropna()
+    sizes = votes.groupBy("item").agg(F.count("*").alias("in_item")).filter("in_item > 1")
     pooled = votes.withColumn("pool", F.pmod(F.xxhash64("annotator"), F.lit(POOLS)).cast("int"))
     cells = pooled.groupBy("item", F.col("pool").alias("other"), F.col("label").alias("their_label")).agg(F.count("*").alias("n"))
-    met = pooled.join(cells, "item").filter(F.col("pool") != F.col("other"))
-    rates = met.groupBy("annotator", "pool", "other").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("label") == F.col("their_label"), F.col("n")).otherwise(0)).alias("agree"))
+    met = pooled.join(sizes, "item").join(cells, "item").filter(F.col("pool") != F.col("other")).withColumn("w", F.col("n") / (F.col("in_item") * (F.col("in_item") - 1)))
+    rates = met.groupBy("annotator", "pool", "other").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("label") == F.col("their_label"), F.col("w")).otherwise(0.0)).alias("agree"))
     rates = materialize(rates, "consensus-rates")
     between = rates.groupBy("pool", "other").agg(F.sum("total").alias("total"), F.sum("agree").alias("agree")).toPandas()
     shares = votes.groupBy("label").agg(F.count("*").alias("n")).toPandas()["n"].to_numpy(float)  # one row per label
@@ -64,11 +65,11 @@ def annotator_reliability(votes: DataFrame, n_labels: int) -> DataFrame:
     m, n = np.zeros((POOLS, POOLS)), np.zeros((POOLS, POOLS))
     p, o = between["pool"].to_numpy(int), between["other"].to_numpy(int)
     n[p, o] = between["total"].to_numpy(float)
-    m[p, o] = (between["agree"].to_numpy(float) / np.maximum(n[p, o], 1) - chance) / (1 - chance)
+    m[p, o] = (between["agree"].to_numpy(float) / np.maximum(n[p, o], 1e-12) - chance) / (1 - chance)
     overall = float((n * m).sum() / n.sum()) if n.sum() else 0.25
     counts = votes.groupBy("annotator").agg(F.count("*").alias("votes"))
     rows = counts.join(rates, "annotator", "left").select(
-        "annotator", "votes", F.coalesce("other", F.lit(0)).alias("other"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("agree", F.lit(0)).alias("agree"))
+        "annotator", "votes", F.coalesce("other", F.lit(0)).alias("other"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("agree", F.lit(0.0)).alias("agree"))
     return rows.groupBy("annotator").applyInPandas(_solver(m, n, chance, float(np.sqrt(max(overall, 0.01)))), f"annotator {votes.schema['annotator'].dataType.simpleString()}, votes long, accuracy double")
 
 
@@ -76,17 +77,18 @@ def consensus(votes: DataFrame, reliability: DataFrame, n_labels: int) -> DataFr
     """(item, label, n_votes, agreement, confidence) per item.
 
     ``agreement`` is the share of agreeing pairs among an item's votes (null for a single vote); ``confidence`` the
-    posterior of the label among those voted for.  Equal scores are settled by the smaller label.  Votes with a null
+    posterior of the label among those voted for.  Equal scores go to the label commoner among all votes, then to the
+    smaller one.  Votes with a null
     in any column don't count, nor do votes of annotators without a reliability; no votes give an empty frame.
     """
     votes = votes.select("item", "annotator", "label").dropna()
-    prior = votes.groupBy("label").agg(F.count("*").alias("in_all")).withColumn("prior", F.log(F.col("in_all") / votes.count())).select("label", "prior")
+    common = votes.groupBy("label").agg(F.count("*").alias("in_all"))
     weight = F.log(F.col("accuracy") * (n_labels - 1) / (1 - F.col("accuracy")))
     scored = votes.join(reliability.select("annotator", weight.alias("w")), "annotator")
-    cells = scored.groupBy("item", "label").agg(F.sum("w").alias("w"), F.count("*").alias("n")).join(F.broadcast(prior), "label").withColumn("score", F.col("w") + F.col("prior"))  # prior: a row per label
+    cells = scored.groupBy("item", "label").agg(F.sum("w").alias("w"), F.count("*").alias("n")).join(F.broadcast(common), "label").withColumn("score", F.round("w", 9))  # a row per label
     n, same = F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))
-    per = cells.groupBy("item").agg(n.alias("n_votes"), same.alias("same"), F.max("score").alias("top"), F.collect_list(F.struct("score", "label")).alias("all"))
-    tied = F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("top")), lambda x: x["label"]))
+    per = cells.groupBy("item").agg(n.alias("n_votes"), same.alias("same"), F.max("score").alias("top"), F.collect_list(F.struct("score", (-F.col("in_all")).alias("rarity"), "label")).alias("all"))  # of one item: at most the number of labels
+    tied = F.array_min(F.transform(F.filter("all", lambda x: x["score"] == F.col("top")), lambda x: F.struct(x["rarity"], x["label"])))["label"]
     return per.select(
         "item", tied.alias("label"), "n_votes", F.try_divide(F.col("same").cast("double"), F.col("n_votes") * (F.col("n_votes") - 1)).alias("agreement"),
         (1 / F.aggregate("all", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - F.col("top")))).alias("confidence"),
