@@ -65,7 +65,8 @@ def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[str], col
     w = Window.partitionBy("__run", *group).orderBy(*order)
     own = runs.withColumns({f"__p_{c}": F.lag(F.struct(F.col(c))).over(w) for c in columns}).withColumn("__first", F.row_number().over(w) == 1)
     last = runs.groupBy("__run").agg(F.max(F.struct(*group, *order, *[F.col(c).alias(f"v_{c}") for c in columns])).alias("x"))
-    last = last.select((F.col("__run") + 1).alias("__lrun"), *[F.col(f"x.{g}").alias(f"__g_{g}") for g in group], *[F.col(f"x.v_{c}").alias(f"__v_{c}") for c in columns])
+    following = F.lead("__run").over(Window.partitionBy(F.lit(0)).orderBy("__run"))  # of the partitions that have rows
+    last = last.select(following.alias("__lrun"), *[F.col(f"x.{g}").alias(f"__g_{g}") for g in group], *[F.col(f"x.v_{c}").alias(f"__v_{c}") for c in columns])
     on = (own["__run"] == last["__lrun"]) & own["__first"]
     for g in group:
         on = on & own[g].eqNullSafe(last[f"__g_{g}"])
