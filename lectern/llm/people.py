@@ -22,8 +22,10 @@ def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         F.concat(F.coalesce(F.transform("last_known_institutions", lambda x: bare_id(x["id"])), F.array().cast("array<string>")), F.coalesce(F.transform("affiliations", lambda x: bare_id(x["institution"]["id"])), F.array().cast("array<string>"))).alias("places"),
     ).filter("id IS NOT NULL")
     names = a.select("id", F.explode("names").alias("name")).filter("name IS NOT NULL").distinct()
-    places = a.groupBy("id").agg(F.max("orcid").alias("orcid"), F.array_distinct(F.array_compact(F.flatten(F.collect_list("places")))).alias("places"))
-    return names, places
+    orcids = a.groupBy("id").agg(F.max("orcid").alias("orcid"))
+    # Distinct places only: a profile delivered any number of times gathers no more than it has places.
+    places = a.select("id", F.explode("places").alias("place")).filter("place IS NOT NULL").distinct().groupBy("id").agg(F.collect_set("place").alias("places"))
+    return names, orcids.join(places, "id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>")))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
