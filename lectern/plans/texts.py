@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.columns import bare_id, clean, first_nonblank
 from lectern.functions.labels import normalize_label
+from lectern.functions.rank import midrank_place
 from lectern.sources.tables import table
 
 # Controlled indicator words and phrases, by kind.
@@ -158,12 +159,17 @@ def tolerant_json(spark, d):
     return p.select("page_id", F.try_variant_get(X.json_object("reply"), "$.meta.count", "long").alias("count_in_meta"))
 
 
+PAPERS_PER_BLOCK = 8
+
+
 def evidence_blocks(spark, d):
-    """Papers of a professor as one numbered block of text, in order of paper id."""
-    e = table(spark, d, "evidence_papers").select("professor_id", "paper_key", "paper_id", "title", "publication_year").filter("professor_id IS NOT NULL").distinct()
+    """Papers of a professor as numbered blocks of text, in order of paper id, eight papers a block."""
+    e = table(spark, d, "evidence_papers").select("professor_id", "paper_id", "paper_key", "title", "publication_year").filter("professor_id IS NOT NULL").distinct()
     line = F.concat(F.lit("["), "paper_id", F.lit("] "), F.coalesce(clean("title"), F.lit("untitled")), F.lit(" ("), F.coalesce(F.col("publication_year").cast("string"), F.lit("n.d.")), F.lit(")"))
-    rows = F.array_sort(F.collect_list(F.struct("paper_id", "paper_key", line.alias("line"))))  # papers of one packet
-    return e.groupBy("professor_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("block"))
+    placed = midrank_place(e, ["professor_id"], ["paper_id", "paper_key", "title", "publication_year"])
+    placed = placed.select("professor_id", F.floor((F.col("place") - 1) / PAPERS_PER_BLOCK).alias("block_no"), F.struct("place", line.alias("line")).alias("x"))
+    rows = F.array_sort(F.collect_list("x"))  # at most eight
+    return placed.groupBy("professor_id", "block_no").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("block"))
 
 
 def _phrases_sql(phrases):
@@ -221,5 +227,5 @@ def oracle_sql():
         "canonical_ids": r"SELECT row_id, CASE WHEN regexp_matches(regexp_extract(id, '([^/]+)/*$', 1), '^W\d+$') THEN regexp_extract(id, '([^/]+)/*$', 1) END AS work_id, CASE WHEN regexp_matches(regexp_extract(authorships[1].author.id, '([^/]+)/*$', 1), '^A\d+$') THEN regexp_extract(authorships[1].author.id, '([^/]+)/*$', 1) END AS first_author FROM works_page",
         "first_names_present": r"SELECT row_id, coalesce(nullif(trim(primary_location.source.display_name), ''), nullif(regexp_extract(primary_location.landing_page_url, '^https?://([^/]+)', 1), ''), 'none') AS venue FROM works_page",
         "tolerant_json": "SELECT page_id, CASE WHEN json_valid(payload) THEN CAST(payload->'$.meta.count' AS BIGINT) END AS count_in_meta FROM raw_pages",
-        "evidence_blocks": "WITH e AS (SELECT DISTINCT professor_id, paper_key, paper_id, title, publication_year FROM evidence_papers WHERE professor_id IS NOT NULL) SELECT professor_id, string_agg('[' || paper_id || '] ' || coalesce(nullif(trim(title), ''), 'untitled') || ' (' || coalesce(publication_year::VARCHAR, 'n.d.') || ')', chr(10) ORDER BY paper_id, paper_key) AS block FROM e GROUP BY professor_id",
+        "evidence_blocks": "WITH e AS (SELECT DISTINCT professor_id, paper_key, paper_id, title, publication_year FROM evidence_papers WHERE professor_id IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY professor_id ORDER BY paper_id NULLS FIRST, paper_key NULLS FIRST, title NULLS FIRST, publication_year NULLS FIRST) AS place FROM e) SELECT professor_id, (place - 1) // 8 AS block_no, string_agg('[' || paper_id || '] ' || coalesce(nullif(trim(title), ''), 'untitled') || ' (' || coalesce(publication_year::VARCHAR, 'n.d.') || ')', chr(10) ORDER BY place) AS block FROM p GROUP BY professor_id, block_no",
     }
