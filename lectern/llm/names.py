@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 from math import ceil, log
 
@@ -55,11 +55,14 @@ def words_of(name: str) -> list[list[str]]:
     return [[w for w in re.findall(r"[^\W\d_]+", part) if w not in TITLES] for part in plain.split(",", 1)]
 
 
-def parse_name(name: str, givens: frozenset[str]) -> tuple[str, str, str, str]:
+_LISTED = frozenset(FULL_FORM) | frozenset(SHORT_FORMS)
+
+
+def parse_name(name: str, givens: frozenset[str], counts: Mapping[str, int] | None = None) -> tuple[str, str, str, str]:
     """(given name in full form or an initial, initial as typed, further initials, family name); parts may be empty.
 
-    In a name without a comma the given name is the first known one, else an initial, else the first word.  All other
-    words of more than one letter make up the family name, joined.
+    In a name without a comma the given name is a known one (a listed one, then the commonest by ``counts``, then the
+    first), else an initial, else the first word.  All other words of more than one letter are the family name, joined.
     """
     parts = words_of(name)
     if len(parts) == 2 and parts[0] and parts[1]:
@@ -70,7 +73,7 @@ def parse_name(name: str, givens: frozenset[str]) -> tuple[str, str, str, str]:
         known = [w for w in full if w in givens]
         single = [w for w in words if len(w) == 1]
         if len(full) > 1 and known:
-            given = known[0]
+            given = max(known, key=lambda w: (w in _LISTED, (counts or {}).get(w, 0)))
         elif single and (len(full) == 1 or words[0] in single):
             given = single[0]
         elif full:
@@ -111,10 +114,12 @@ def family_spellings(family: str) -> list[str]:
 
 def _parse(givens):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = givens.value
+        known = frozenset(counts) | _LISTED
         for f in frames:
             rows = []
             for n in f["name"]:
-                given, typed, middle, family = parse_name(n, givens.value)
+                given, typed, middle, family = parse_name(n, known, counts)
                 rows += [(n, given, typed, middle, spelling) for spelling in family_spellings(family)]
             yield pd.DataFrame(rows, columns=["name", "given", "typed", "middle", "family"], dtype=object)
 
@@ -130,9 +135,9 @@ def parsed_names(names: DataFrame) -> DataFrame:
     """(name, given, typed, middle, family, form) of the distinct values of ``names.name``, a row for each spelling of the
     family name; those without one are dropped."""
     distinct = materialize(names.select("name").filter("name IS NOT NULL").distinct(), "names-distinct")
-    least = max(3, int(GIVEN_RATE * distinct.count()))
+    least = max(8, int(GIVEN_RATE * distinct.count()))
     counted = distinct.mapInPandas(_words, "word string").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    givens = frozenset(r["word"] for r in counted.collect()) | frozenset(FULL_FORM) | frozenset(SHORT_FORMS)  # at most words per name / GIVEN_RATE
+    givens = {r["word"]: r["n"] for r in counted.collect()}  # at most words per name / GIVEN_RATE
     parsed = distinct.mapInPandas(_parse(names.sparkSession.sparkContext.broadcast(givens)), "name string, given string, typed string, middle string, family string")
     return parsed.filter("family <> ''").withColumn("form", F.concat_ws("|", "given", "typed", "middle", "family"))
 

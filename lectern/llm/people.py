@@ -46,28 +46,43 @@ def people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     typed = materialize(entries.join(parsed, "name").select("id", "own", "form"), "people-typed")
     about = materialize(about, "people-about")
 
-    # Forms that no profile has can only be on the side of the entries.
+    # A profile's rank decides who can be a centre: ORCID first, then more spellings, then a fuller given name.
+    shape = held.groupBy("id").agg(F.max("n_given").alias("n_given"), F.count("*").alias("n_forms"))
+    rank = about.join(shape, "id", "left").select(
+        "id", "orcid", "places", F.struct(F.col("orcid").isNull().alias("no_orcid"), (-F.coalesce("n_forms", F.lit(0))).alias("f"), (-F.coalesce("n_given", F.lit(0))).alias("g")).alias("rank"))
+    rank = materialize(rank, "people-rank")
     pairs = materialize(similar_forms(parsed), "people-pairs")
-    of_a = pairs.join(held.select(F.col("form").alias("form_a"), F.col("id").alias("a")), "form_a")
-    links = of_a.join(held.select(F.col("form").alias("form_b"), F.col("id").alias("b")), "form_b").filter("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
-    x, y = about.select(F.col("id").alias("a"), F.col("orcid").alias("oa"), F.col("places").alias("pa")), about.select(F.col("id").alias("b"), F.col("orcid").alias("ob"), F.col("places").alias("pb"))
+    forms = materialize(held.join(rank, "id").select("form", "id", "orcid", "places", "rank"), "people-held")
+
+    # Profiles aren't linked with all others of a name but with the best ones: with and without an ORCID, and of each
+    # place they share.  That is all a star needs, and it stays linear where one name belongs to very many.
+    best = F.min_by("id", F.struct("rank", "id")).alias("b")
+    every = forms.groupBy(F.col("form").alias("form_b"), F.col("orcid").isNull().alias("open")).agg(best).select("form_b", "b")
+    local = forms.select("form", "id", "rank", F.explode("places").alias("place")).groupBy(F.col("form").alias("form_b"), "place", F.col("rank.no_orcid").alias("open")).agg(best).select("form_b", "place", "b")
+    from_a = pairs.join(forms.select(F.col("form").alias("form_a"), F.col("id").alias("a"), "places"), "form_a")
+    links = from_a.join(every, "form_b").select("a", "b", "score")
+    links = links.unionByName(from_a.select("form_b", "a", "score", F.explode("places").alias("place")).join(local, ["form_b", "place"]).select("a", "b", "score"))
+    links = links.filter("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
+    x, y = rank.select(F.col("id").alias("a"), F.col("orcid").alias("oa"), F.col("places").alias("pa")), rank.select(F.col("id").alias("b"), F.col("orcid").alias("ob"), F.col("places").alias("pb"))
     edges = links.join(x, "a").join(y, "b").filter("oa IS NULL OR ob IS NULL OR oa = ob")
     edges = edges.select("a", "b", (F.col("score") + F.when(F.col("oa") == F.col("ob"), 1.0).otherwise(0.0) + F.when(F.arrays_overlap("pa", "pb"), SAME_PLACE).otherwise(0.0)).alias("score"))
-    by_orcid = about.filter("orcid IS NOT NULL").select("orcid", F.col("id").alias("a"))
-    same = by_orcid.join(by_orcid.withColumnRenamed("a", "b"), "orcid").filter("a <> b").select("a", "b", F.lit(2.0).alias("score"))
-    edges = materialize(edges.unionByName(same).groupBy("a", "b").agg(F.max("score").alias("score")), "people-edges")
-    fullness = held.groupBy("id").agg(F.max("n_given").alias("n_given"))
-    degree = edges.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-    rank = about.join(fullness, "id", "left").join(degree, "id", "left").select(
-        "id", F.struct(F.col("orcid").isNull().alias("no_orcid"), (-F.coalesce("degree", F.lit(0))).alias("d"), (-F.coalesce("n_given", F.lit(0))).alias("n")).alias("rank"))
-    stars = materialize(star_clusters(rank, edges, "people-stars"), "people-centers")
-
-    centers = of_a.join(stars.withColumnRenamed("id", "a"), "a").groupBy("form_b", "center").agg(F.max("score").alias("score"))
-    own = stars.select(F.col("id").alias("own"), F.col("center").alias("own_center"))
-    candidates = typed.join(centers.withColumnRenamed("form_b", "form"), "form").join(own, "own", "left")
-    scored = candidates.select("id", "center", (F.col("score") + F.when(F.col("center") == F.col("own_center"), OWN_PAPER).otherwise(0.0)).alias("score"))
+    first = rank.filter("orcid IS NOT NULL").groupBy("orcid").agg(best)
+    same = rank.select("orcid", F.col("id").alias("a")).join(first, "orcid").filter("a <> b").select("a", "b", F.lit(2.0).alias("score"))
+    edges = edges.unionByName(same)
+    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).groupBy("a", "b").agg(F.max("score").alias("score"))
+    stars = materialize(star_clusters(rank.select("id", "rank"), edges, "people-stars"), "people-centers")
+
+    # An entry's best centre is that of its form, unless its paper's professor is one of the form's centres.
+    placed = forms.select(F.col("form").alias("form_a"), F.col("id").alias("id")).join(stars, "id").select("form_a", "center").distinct()
+    centers = materialize(pairs.join(placed, "form_a").groupBy(F.col("form_b").alias("form"), "center").agg(F.max("score").alias("score")), "people-form-centers")
+    leading = centers.groupBy("form").agg(F.max("score").alias("top"))
+    lead = centers.join(leading, "form").filter(F.col("score") >= F.col("top") - TIE).groupBy("form").agg(F.max("score").alias("score"), F.min("center").alias("center"), F.count("*").alias("n"))
+    general = typed.join(lead, "form").select("id", "score", F.when(F.col("n") == 1, F.col("center")).alias("center"))
+    own = typed.join(stars.select(F.col("id").alias("own"), F.col("center")), "own").join(centers, ["form", "center"]).select("id", (F.col("score") + OWN_PAPER).alias("score"), "center")
+    scored = general.unionByName(own)
     top = scored.groupBy("id").agg(F.max("score").alias("top"))
-    best = scored.join(top, "id").filter(F.col("score") >= F.col("top") - TIE).groupBy("id").agg(F.min("center").alias("center"), F.countDistinct("center").alias("n")).filter("n = 1").select("id", "center")
+    best = scored.join(top, "id").filter(F.col("score") >= F.col("top") - TIE).groupBy("id").agg(F.min("center").alias("center"), F.countDistinct("center").alias("n"), F.count_if(F.col("center").isNull()).alias("tied"))
+    best = best.filter("n = 1 AND tied = 0").select("id", "center")
     return stars, best
 
 
