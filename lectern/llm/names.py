@@ -218,7 +218,7 @@ def similar_forms(forms: DataFrame) -> DataFrame:
     return scored.filter("score IS NOT NULL").groupBy("form_a", "form_b").agg(F.max("score").alias("score"))
 
 
-def star_clusters(vertices: DataFrame, edges: DataFrame, label: str, most_rounds: int = 30) -> DataFrame:
+def star_clusters(vertices: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """(id, center) of all ``vertices(id, rank)`` under symmetric ``edges(a, b, score)``.
 
     Round by round, open vertices that outrank all their open neighbours become centres and their open neighbours go
@@ -230,9 +230,7 @@ def star_clusters(vertices: DataFrame, edges: DataFrame, label: str, most_rounds
     e = materialize(edges.join(ranked.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(ranked.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b"), label)
     done = None
     lone = ranked.join(e.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("center"))
-    for _ in range(most_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         best = e.groupBy("a").agg(F.max_by("ka", F.lit(1)).alias("ka"), F.min("kb").alias("least"))
         centers = best.filter(F.col("ka") < F.col("least")).select(F.col("a").alias("center"))
         joined = e.join(centers, e["b"] == centers["center"]).groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("kb"))).alias("center")).select(F.col("a").alias("id"), "center")
