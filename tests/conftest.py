@@ -15,9 +15,12 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from lectern.session import ship
     from lectern.storage import cleanup
 
+    ship(s)
+    yield s
+
     cleanup()
 
 
