@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.llm.lookalike import CYRILLIC, FULL_WIDTH, GREEK, INVISIBLE, LIGATURES, SPACES, lookalike_classes, lookalike_pairs, plain_form
+from lectern.llm.lookalike import CYRILLIC, FULL_WIDTH, GREEK, INVISIBLE, LIGATURES, SPACES, composed, decomposed, lookalike_classes, lookalike_pairs, plain_form
 from lectern.sources.tables import table
 
 
-@F.pandas_udf(T.StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
-
-
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     members = lookalike_classes(table(spark, d, "documents"), "doc_id", "text")
     return lookalike_pairs(members, "doc_id")
@@ -34,8 +25,8 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     members = lookalike_classes(docs, "doc_id", "text").select("doc_id", "canonical_key")
     standing = members.select(F.col("canonical_key")).distinct().join(docs.withColumnRenamed("doc_id", "canonical_key").withColumnRenamed("text", "canonical_text"), "canonical_key")
     joined = docs.join(members.join(standing, "canonical_key"), "doc_id", "left")
-    form = plain_form(F.coalesce("canonical_text", "text"))
-    return joined.select("doc_id", _composed(form).alias("consistent_text"), F.col("canonical_key").isNotNull().alias("had_lookalike"))
+    form = plain_form(decomposed(F.coalesce("canonical_text", "text")))
+    return joined.select("doc_id", composed(form).alias("consistent_text"), F.col("canonical_key").isNotNull().alias("had_lookalike"))
 
 
 def _sql_text(s: str) -> str:

@@ -1,18 +1,24 @@
 """Problem 10: texts that look the same but are written with different characters, brought to one form.
 
-A text is first mapped character by character (width forms, spaces, joined letters, look-alike letters, invisible
-characters), all inside the JVM.  Mapped texts are then grouped under the accent- and case-sensitive Unicode
+A text is mapped character by character (width forms, spaces, joined letters, look-alike letters, invisible
+characters) inside the JVM, after its letters have been parted from their accents (in Python, which has a function for
+it): a look-alike letter composed with an accent is mapped as the same two characters are.  Mapped texts are then grouped under the accent- and case-sensitive Unicode
 collation in SQL, which treats composed and decomposed accents alike and passes over ignorable characters.  Each
 class has one canonical member, chosen by rule, which is joined back to all of its members.
 
 Whole texts aren't shuffled for that: rows are first blocked by a 64-bit hash of what canonical equivalence leaves
-alone (the ASCII rest of the mapped text), and only texts in blocks with at least two different texts go on.
+alone (the ASCII rest of the mapped text), and only texts in blocks with at least two different texts go on, to have
+their accents parted and be compared.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.storage import materialize
 
@@ -26,9 +32,22 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff"
 #: Full-width forms of the printable ASCII characters, by rule.
 FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
+#: Characters canonically equal to an ASCII one (Greek question mark, varia, Kelvin sign).
+SINGLETONS = {"\u037e": ";", "\u1fef": "`", "\u212a": "K"}
+
+
+@F.pandas_udf(T.StringType())
+def decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFD", t))
+
+
+@F.pandas_udf(T.StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
 def _mapped(c: Column, single: dict[str, str]) -> Column:
+    single = single | SINGLETONS
     source, target = "".join(single), "".join(single.values())
     out = F.translate(c, source + SPACES + INVISIBLE, target + " " * len(SPACES))
     for joined, letters in LIGATURES.items():
@@ -37,16 +56,18 @@ def _mapped(c: Column, single: dict[str, str]) -> Column:
 
 
 def skeleton(c: Column | str) -> Column:
-    """The text with every look-alike mapped; for comparing, not for reading (Cyrillic words become mixed)."""
+    """The text with every look-alike mapped; for comparing, not for reading (Cyrillic words become mixed).
+
+    Letters composed with accents are only mapped in a ``decomposed`` text."""
     return _mapped(F.col(c) if isinstance(c, str) else c, FULL_WIDTH | CYRILLIC | GREEK)
 
 
 def plain_form(c: Column | str) -> Column:
     """The text with width forms, spaces, joined letters and invisible characters mapped; look-alike letters only in
-    texts all of whose Cyrillic and Greek letters are look-alikes beside Latin ones, so that other scripts stay whole."""
+    texts all of whose Cyrillic and Greek letters are look-alikes beside Latin ones, so that other scripts stay whole.  Letters composed with accents are only mapped in a ``decomposed`` text."""
     c = F.col(c) if isinstance(c, str) else c
     light = _mapped(c, FULL_WIDTH)
-    rest = F.translate(light, "".join(CYRILLIC | GREEK), "")
+    rest = F.regexp_replace(F.translate(light, "".join(CYRILLIC | GREEK), ""), r"\p{M}+", "")
     disguised = ~rest.rlike(r"[\p{IsCyrillic}\p{IsGreek}]{2}") & light.rlike(r"\p{IsLatin}")
     return F.when(disguised, _mapped(light, CYRILLIC | GREEK)).otherwise(light)
 
@@ -60,7 +81,8 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Records whose text looks like another, different text: ``key``, ``text_id``, ``class_id``, ``canonical_key``.
 
     ``text_id`` tells the exact texts apart, ``class_id`` the classes; ``canonical_key`` is the smallest key of the
-    canonical text (the one that is its own mapped form, else the one of smallest key).
+    canonical text (the one that is its own mapped form, else the one of smallest key; how accents are composed does
+    not count for that).
 
     Defined results: a null text, or one under a null key, belongs to no class; empty texts, and texts of nothing but invisible characters and
     spaces, look alike and form one class; exact copies have one ``text_id`` and are a class only together with a
@@ -71,8 +93,8 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     narrow = materialize(base.select("k", "text_id", block(skeleton("t")).alias("b")), "lookalike-blocks")
     several = narrow.groupBy("b").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo <> hi").select("b")
     near_keys = materialize(narrow.join(several, "b", "left_semi").select("k", "text_id").distinct(), "lookalike-near")
-    near = base.join(near_keys, ["k", "text_id"]).withColumn("s", skeleton("t"))
-    texts = near.groupBy("text_id").agg(F.min("k").alias("first_key"), F.first("s").alias("s"), F.bool_or(F.col("s") == F.col("t")).alias("plain"))
+    near = base.join(near_keys, ["k", "text_id"]).withColumn("d", decomposed("t")).withColumn("m", skeleton("d")).withColumn("s", composed("m"))
+    texts = near.groupBy("text_id").agg(F.min("k").alias("first_key"), F.first("s").alias("s"), F.bool_or(F.col("m") == F.col("d")).alias("plain"))
     texts.createOrReplaceTempView("lectern_lookalike_texts")
     classes = df.sparkSession.sql(
         """

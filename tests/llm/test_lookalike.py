@@ -1,6 +1,8 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from lectern.llm.lookalike import lookalike_classes, lookalike_pairs, plain_form, skeleton
+from lectern.llm.lookalike import CYRILLIC, GREEK, composed, decomposed, lookalike_classes, lookalike_pairs, plain_form, skeleton
 
 TEXTS = {
     1: "A café at 5 o'clock", 2: "A café at 5 o'clock", 3: "Ａ café at ５ o'clock", 4: "А café at 5 o'clock", 5: "A ca​fé at 5 o'clock", 6: "A cafe at 5 o'clock",
@@ -33,3 +35,20 @@ def test_readable_form_keeps_other_scripts(spark):
     df = spark.createDataFrame([("Привет, мир",), ("pаypal",), ("ﬁ x​y",)], "t string")
     assert [r.f for r in df.select(plain_form("t").alias("f")).collect()] == ["Привет, мир", "paypal", "fi xy"]
     assert [r.f for r in df.select(skeleton("t").alias("f")).collect()][1:] == ["paypal", "fi xy"]
+
+
+def test_canonically_equal_texts_are_one_class(spark):
+    greek = "Ο λόγος του ανθρώπου, Ὅμηρος ᾠδή ὁδός"
+    texts = [greek, unicodedata.normalize("NFD", greek), "5 \u212a\u037e", "5 K;", "λογος", "λόγος", "λὸγος", "o\u0323\u0301", "ο\u0301\u0323"]
+    letters = [c for c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0] in CYRILLIC | GREEK]
+    texts += [f"a{i} {c} b" for i, c in enumerate(letters)] + [f"a{i} {unicodedata.normalize('NFD', c)} b" for i, c in enumerate(letters)]
+    of = {r.id: r.class_id for r in lookalike_classes(spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3), "id", "t").collect()}
+    first = texts.index(f"a0 {letters[0]} b")
+    equal = [(0, 1), (2, 3), (7, 8)] + [(first + i, first + len(letters) + i) for i, c in enumerate(letters) if unicodedata.normalize("NFD", c) != c]
+    assert len(letters) > 90 and [(texts[i], texts[j]) for i, j in equal if of.get(i) is None or of.get(i) != of.get(j)] == []
+    assert len({of[i] for i, _ in equal}) == len(equal) and not {4, 5, 6} & set(of)
+
+
+def test_readable_form_of_composed_letters(spark):
+    df = spark.createDataFrame([("cόat",), ("cο\u0301at",), ("λόγος abc",), ("\u044f\u0301\u044f abc\u043e",)], "t string")
+    assert [r.f for r in df.select(composed(plain_form(decomposed("t"))).alias("f")).collect()] == ["cóat", "cóat", "λόγος abc", "\u044f\u0301\u044f abc\u043e"]
