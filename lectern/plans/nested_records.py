@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,29 +17,41 @@ _INSTITUTIONS = "array<struct<id: string, lineage: array<string>>>"
 _AFFILIATIONS = "array<struct<institution: struct<id: string, lineage: array<string>>>>"
 
 
+def _field(c: Column, kind: T.DataType | None, name: str) -> tuple[Column, T.DataType | None]:
+    if isinstance(kind, T.VariantType):
+        return F.try_variant_get(c, f"$.{name}", "variant"), kind
+    t = field_type(kind, name) if isinstance(kind, T.StructType) else None
+    return (c.getField(name) if t is not None else F.lit(None).cast("string")), t
+
+
+def _is_object(c: Column, kind: T.DataType | None) -> Column:
+    return F.schema_of_variant(c).startswith("OBJECT") if isinstance(kind, T.VariantType) else c.isNotNull() & F.lit(isinstance(kind, T.StructType))
+
+
 def _institution(c: Column, kind: T.DataType | None) -> Column:
-    def get(name: str):
-        t = field_type(kind, name) if kind is not None else None
-        return c.getField(name) if t is not None else F.lit(None).cast("string"), t
+    (i, _), (lineage, t) = _field(c, kind, "id"), _field(c, kind, "lineage")
+    return F.when(_is_object(c, kind), F.struct(i.cast("string").alias("id"), as_strings(lineage, t).alias("lineage")))
+
 
-    (i, _), (lineage, t) = get("id"), get("lineage")
-    return F.when(c.isNotNull(), F.struct(i.cast("string").alias("id"), as_strings(lineage, t).alias("lineage")))
+def _each(c: Column, kind: T.DataType | None, read: Callable[[Column, T.DataType], Column]) -> Column:
+    """``read`` of every element of an array; a single object is read as an array of one.  Where records differ in
+    which of them they have, each is read by its own shape; anything else gives null."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: read(x, kind.elementType))
+    if not isinstance(kind, (T.StructType, T.VariantType)):
+        return F.lit(None)
+    one = F.when(_is_object(c, kind), F.array(read(c, kind)))
+    if isinstance(kind, T.StructType):
+        return one
+    return F.coalesce(F.transform(F.try_variant_get(c, "$", "array<variant>"), lambda x: read(x, kind)), one)
 
 
 def _from_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "raw_pages").select("page_id", "retrieved_at", "payload")
     r = parse_records(pages, "payload", "$.results", ["page_id", "retrieved_at"])
-    kind = r.schema["record"].dataType
-    last_t, aff_t = field_type(kind, "last_known_institutions"), field_type(kind, "affiliations")
-    if isinstance(last_t, T.ArrayType) and isinstance(last_t.elementType, T.StructType):
-        last = F.transform("record.last_known_institutions", lambda x: _institution(x, last_t.elementType))
-    else:
-        last = F.lit(None).cast(_INSTITUTIONS)
-    inst_t = field_type(kind, "affiliations.institution")
-    if isinstance(aff_t, T.ArrayType) and isinstance(inst_t, T.StructType):
-        aff = F.transform("record.affiliations", lambda x: F.struct(_institution(x.getField("institution"), inst_t).alias("institution")))
-    else:
-        aff = F.lit(None).cast(_AFFILIATIONS)
+    record, kind = F.col("record"), r.schema["record"].dataType
+    last = _each(*_field(record, kind, "last_known_institutions"), _institution)
+    aff = _each(*_field(record, kind, "affiliations"), lambda x, t: F.struct(_institution(*_field(x, t, "institution")).alias("institution")))
     return r.select(
         bare_id("record.id").alias("record_id"), "retrieved_at", (F.col("page_id") * 1_000_000 + F.col("ordinal")).alias("position"),
         last.cast(_INSTITUTIONS).alias("last_known_institutions"), aff.cast(_AFFILIATIONS).alias("affiliations"),

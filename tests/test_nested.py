@@ -1,6 +1,10 @@
+import datetime
+import json
+
 from pyspark.sql import functions as F
 
 from lectern.operators.nested import as_strings, flatten, parse_records
+from lectern.plans import nested_records
 
 SCHEMA = "id string, ordinal int, name struct<first: string, n: int>, kids array<struct<id: string, tags: array<string>, home: struct<zip: string>>>, grid array<array<int>>"
 
@@ -31,3 +35,26 @@ def test_records_of_different_shapes(spark):
     assert got == {(0, 1): ("a", ["x", "y"]), (0, 4): ("b", ["z"]), (1, 1): ("c", None), (1, 2): (None, [])}
     none = parse_records(df.filter("page > 2"), "payload", "$.results", ["page"])
     assert none.count() == 0 and none.schema["record"].dataType.names == ["id"]
+
+
+def test_differing_shapes_of_institutions_keep_all_links(spark, tmp_path):
+    def pages(name, *records):
+        at = datetime.datetime(2026, 1, 1)
+        rows = [(i, at, json.dumps({"results": [r]})) for i, r in enumerate(records)]
+        spark.createDataFrame(rows, "page_id long, retrieved_at timestamp, payload string").write.parquet(str(tmp_path / name / "raw_pages.parquet"))
+        out = {}
+        for r in nested_records._from_pages(spark, str(tmp_path / name)).collect():
+            pairs = lambda xs: xs if xs is None else [x and (x.id, x.lineage) for x in xs]
+            out[r.record_id] = pairs(r.last_known_institutions), r.affiliations and pairs([x.institution for x in r.affiliations])
+        return out
+
+    i = lambda n, lineage=("I9",): {"id": f"I{n}", "lineage": list(lineage)}
+    plain = {"id": "A1", "last_known_institutions": [i(1), None, i(2)], "affiliations": [{"institution": i(3)}, {"institution": None}]}
+    read = [("I1", ["I9"]), None, ("I2", ["I9"])], [("I3", ["I9"]), None]
+    other = {"id": "A2", "last_known_institutions": i(4), "affiliations": {"institution": i(5, ["I8", "I7"])}}
+    assert pages("object", plain, other) == {"A1": read, "A2": ([("I4", ["I9"])], [("I5", ["I8", "I7"])])}
+    assert pages("objects", other) == {"A2": ([("I4", ["I9"])], [("I5", ["I8", "I7"])])}
+    assert pages("string", plain, {"id": "A2", "last_known_institutions": "none", "affiliations": "none"}) == {"A1": read, "A2": (None, None)}
+    mixed = {"id": "A2", "last_known_institutions": ["x", {"id": "I4", "lineage": "I9"}], "affiliations": [{"institution": "x"}, {"institution": i(5)}]}
+    assert pages("elements", plain, mixed) == {"A1": read, "A2": ([None, ("I4", ["I9"])], [None, ("I5", ["I9"])])}
+    assert pages("plain", plain, {"id": "A2"}) == {"A1": read, "A2": (None, None)}
