@@ -2,7 +2,8 @@
 
 Names are parsed into given name, initials and family name (titles, order, case, accents, joined or split parts).
 Family names with the initial of the given name are looked up by MinHash banding over padded q-grams; how many bands
-there are follows from the collision curve and the recall wanted at the similarity of one transposition.  Candidates
+there are follows from the collision curve and the recall wanted at the similarity of one transposition.  In short
+names a transposition leaves less than that; those meet exactly, on what is left of both with one letter deleted.  Candidates
 are verified by a Monge-Elkan similarity of the parts, and linked profiles are clustered by stars: a profile that no
 better linked neighbour outranks is a centre, its neighbours go to the centre they resemble most.  Other entries go to
 the one star they resemble most, or to none where two fit equally well.
@@ -41,6 +42,8 @@ TITLES = frozenset("dr prof professor mr mrs ms miss sir dame".split())
 GIVEN_RATE = 0.001
 #: Q-gram similarity that one transposition in a name of eight letters leaves, the recall wanted there, rows of a band.
 LEAST_SIMILARITY, RECALL, ROWS, GRAM = 0.5, 0.97, 4, 2
+#: Letters up to which names are looked up by deletions.
+SHORT = 8
 LEAST_MONGE_ELKAN = 0.85
 
 
@@ -177,10 +180,22 @@ def hash_gram(s: str) -> int:
     return int.from_bytes(s.encode("utf-16-le")[:8], "little")
 
 
+def _deletions(units: DataFrame) -> DataFrame:
+    """(key, family, initial) of names of up to ``SHORT`` letters, by the name and each name with one letter less: names
+    within one error, a swap among them, share one."""
+    less = F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring(F.col("family"), i + 1, F.length("family"))))
+    keys = F.explode(F.array_distinct(F.concat(F.array("family"), less))).alias("rest")
+    return units.filter(F.length("family").between(1, SHORT)).select(keys, "family", "initial").select(F.xxhash64("initial", "rest").alias("key"), "family", "initial")
+
+
 def similar_families(units: DataFrame) -> DataFrame:
-    """(family_a, family_b, initial, s_family) of units (family, initial) that met in a band and are within one error; equal ones too."""
+    """(family_a, family_b, initial, s_family) of units (family, initial) that met in a band or by deletions and are within one error; equal ones too.
+
+    Pairs of at most ``SHORT`` letters are all found.  Names under five letters are only similar to names of five."""
     n_bands = bands_for(LEAST_SIMILARITY, RECALL, ROWS)
-    p = units.mapInArrow(_bands(n_bands), "key long, family string, initial string").repartition("key")
+    # Names shorter than SHORT differ by an error from names up to SHORT only, so they need no bands.
+    banded = units.filter(F.length("family") >= SHORT).mapInArrow(_bands(n_bands), "key long, family string, initial string")
+    p = banded.unionByName(_deletions(units)).repartition("key")
     # The key holds the initial already; as a second join key it would only cause another exchange.
     a, b = p.select("key", "initial", F.col("family").alias("family_a")), p.select("key", F.col("family").alias("family_b"))
     d = F.levenshtein("family_a", "family_b")

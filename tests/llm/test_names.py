@@ -49,6 +49,19 @@ def test_recall_of_banding_against_brute_force(spark):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_recall_by_length_of_the_name(spark):
+    rnd = random.Random(5)
+    swap = lambda s, i: s[:i] + s[i + 1] + s[i] + s[i + 2 :]
+    for n in range(5, 11):
+        base = {"".join(rnd.sample("abcdefghijklmnoprstuvwxyz", n)) for _ in range(150)}
+        pairs = {tuple(sorted((s, swap(s, rnd.randrange(n - 1))))) for s in base} | {tuple(sorted((s, s[:i] + s[i + 1 :]))) for s in base for i in (rnd.randrange(n),)}
+        units = spark.createDataFrame([(x, "k") for x in sorted({x for p in pairs for x in p})], "family string, initial string")
+        got = {(r.family_a, r.family_b) for r in N.similar_families(units).filter("family_a < family_b").collect()}
+        recall = len(pairs & got) / len(pairs)
+        print(n, round(recall, 3))
+        assert recall == 1 if n <= N.SHORT else recall >= 0.95, n
+
+
 def test_forms_of_one_person_and_of_others(spark):
     rows = ["Leila Xakamevone", "Xakamevone, L.", "leila xakamevoen", "Robert Xakamevone", "Leila B. Xakamevone", "Leila C. Xakamevone", None, "", "  ", "Dr."]
     parsed = N.parsed_names(spark.createDataFrame([(x,) for x in rows], "name string"))
