@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.storage import materialize
+
 ERROR = "check_name string, entity string, detail string"
 
 
@@ -61,18 +63,23 @@ def containing_names(texts: DataFrame, key: str, text: str, names: DataFrame, na
     """(key, name) of texts that contain a name as a run of whole words, case and punctuation aside.
 
     An equality join on hashed word runs of up to ``most_words`` words, so neither side has to be small and no text is
-    held against every name.  Names of fewer letters or more words than the bounds aren't looked for; texts without
-    words match nothing.
+    held against every name.  A name of more words is looked up by its first ``most_words`` and then sought as a whole
+    in the texts that have these.  Names of fewer letters than the bound aren't looked for; texts without words match
+    nothing.
     """
     def ws(c: str) -> Column:
         return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
-    wanted = names.select(F.col(name).alias("name"), ws(name).alias("w")).filter((F.size("w") >= 1) & (F.size("w") <= most_words))
-    wanted = wanted.withColumn("run", F.array_join("w", " ")).filter(F.length("run") >= least_letters).select("name", "run").distinct()
+    wanted = names.select(F.col(name).alias("name"), ws(name).alias("w")).filter((F.size("w") >= 1) & (F.length(F.array_join("w", " ")) >= least_letters))
+    wanted = wanted.select("name", F.array_join(F.slice("w", 1, most_words), " ").alias("run")).distinct()
     t = texts.select(F.col(key).alias("of"), ws(text).alias("w"))
 
     def runs(n: int) -> Column:
         return F.transform(F.slice("w", 1, F.greatest(F.size("w") - n + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, n)]))
 
     grams = t.select("of", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))).alias("run"))
-    return grams.join(wanted, "run").select(F.col("of").alias(key), "name").distinct()
+    met = materialize(grams.join(wanted, "run").select("of", "name").distinct(), "names-met").withColumn("name_words", ws("name"))
+    whole = F.size("name_words") <= most_words
+    longer = met.filter(~whole).withColumnRenamed("of", "met_of").join(t, F.col("met_of").eqNullSafe(F.col("of")))
+    in_text = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("name_words", " "), F.lit(" ")))
+    return met.filter(whole).select("of", "name").unionByName(longer.filter(in_text).select("of", "name")).select(F.col("of").alias(key), "name").distinct()

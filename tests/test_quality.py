@@ -1,0 +1,11 @@
+from lectern.operators.quality import containing_names
+
+
+def test_names_of_any_number_of_words_are_found(spark):
+    names = ["Prof. Quentin S. Hodi Ravio", "Quentin S. Hodi", "Prof Quentin S Hodi Luho", "A B C D E F G", "Al", None, "..."]
+    texts = [(1, "by prof. QUENTIN S. Hodi-Ravio, 2020"), (2, "Prof Quentin S Hodi; Ravio"), (3, "Prof Quentin S Hodi"), (4, "a b c d e f"), (None, "x a b c d e f g"), (5, ""), (6, None), (7, "prof quentin s hodi raviolo")]
+    t, n = spark.createDataFrame(texts, "id long, t string").repartition(3), spark.createDataFrame([(x,) for x in names], "n string")
+    got = {(r.id, r.name) for r in containing_names(t, "id", "t", n, "n").collect()}
+    short = {(i, names[1]) for i in (1, 2, 3, 7)}
+    assert got == short | {(1, names[0]), (2, names[0]), (None, names[3])}
+    assert containing_names(t.limit(0), "id", "t", n, "n").count() == 0
