@@ -73,8 +73,11 @@ def _postings(counts, threshold: float, words: int, banded: bool):
             keep = size > 0
             if not keep.any():
                 continue
-            b = b.filter(pa.array(keep))
-            size = size[keep]
+            b, size = b.filter(pa.array(keep)), size[keep]
+            # Copies of a set in one band are dropped here, before they are shuffled; those of other batches after.
+            both = b.column("h").to_numpy().view(np.uint64) ^ _mix(b.column("band").to_numpy().astype(np.int64).view(np.uint64))
+            one = np.sort(np.unique(both, return_index=True)[1])
+            b, size = b.take(pa.array(one)), size[one]
             flat = b.column("tokens").flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -116,6 +119,13 @@ def ring_condition(a: list[Column], b: list[Column], tau: Column, parts: int, ch
     return starts & (reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]) <= tau)
 
 
+def class_postings(records: DataFrame, counts: np.ndarray, threshold: float, words: int, banded: bool) -> DataFrame:
+    """Postings by ``key``, one per class (``h``, ``band``) and prefix token, however many records the class has."""
+    run, schema = _postings(records.sparkSession.sparkContext.broadcast(counts), threshold, words, banded)
+    # The key holds token and band; partitioned by it, copies meet without another exchange.
+    return records.select("h", "band", "tokens").mapInArrow(run, schema).repartition("key").dropDuplicates(["key", "h", "second"])
+
+
 def similar_classes(records: DataFrame, threshold: float, label: str, words: int, band_width: int | None = None) -> DataFrame:
     """Pairs of different token sets with Jaccard similarity of at least ``threshold``: ``h_a < h_b``.
 
@@ -125,13 +135,11 @@ def similar_classes(records: DataFrame, threshold: float, label: str, words: int
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = records.sparkSession
     tokens = records.select(F.explode("tokens").alias("t"))
     cells = tokens.groupBy(F.col("t").bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int").alias("cell")).agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy(int)] = cells["n"].to_numpy(np.int64)
-    run, schema = _postings(spark.sparkContext.broadcast(counts), threshold, words, band_width is not None)
-    p = records.select("h", "band", "tokens").mapInArrow(run, schema).repartition("key")
+    p = class_postings(records, counts, threshold, words, band_width is not None)
     a = p.select("key", *[F.col(c).alias(f"a_{c}") for c in p.columns if c != "key"])
     b = p.select("key", *[F.col(c).alias(f"b_{c}") for c in p.columns if c != "key"])
     share = threshold / (1 + threshold)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import connected_components
-from lectern.llm.neardup import distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs, ring_condition
+from lectern.llm.neardup import CELLS, class_postings, distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs, ring_condition
 
 
 def words(rnd, n, vocabulary=60):
@@ -105,3 +105,10 @@ def test_components_against_union_find(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_copies_have_the_postings_of_one(spark):
+    rows = [(i, "many words that are the same here", 2003 + i % 2) for i in range(600)] + [(900 + i, "many words that are the same there", 2003) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, t string, band long").withColumn("tokens", distinct_words("t")).withColumn("h", F.xxhash64(F.array_sort("tokens")))
+    got = [class_postings(x.select("h", "band", "tokens"), np.zeros(CELLS, np.int64), 0.7, 1, True) for x in (df.repartition(7), df.dropDuplicates(["h", "band"]))]
+    assert got[0].count() == got[1].count() == 3 * 2 * 3 and sorted(got[0].collect()) == sorted(got[1].collect())
