@@ -11,26 +11,23 @@ from lectern.sources.tables import table
 from lectern.storage import materialize
 
 LIMIT_GRADE = 8.0
-#: How far above the limit, in spreads of the formula's errors, an abstract is still checked exactly.
-CHECKED_SPREADS = 4.0
 
 
-def graded(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
-    """(paper_key, grade by the formula, given grade, words, sentences) of all abstracts; the spread of its errors."""
+def graded(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_key, features, grade by the formula, given grade) of all abstracts."""
     papers = table(spark, d, "evidence_papers").select("paper_key", "retrieved_at", clean("abstract").alias("abstract"))
     papers = latest(papers.filter("paper_key IS NOT NULL"), ["paper_key"], ["retrieved_at"], ["abstract"]).filter("abstract IS NOT NULL")
     given = table(spark, d, "paper_features").groupBy("paper_key").agg(F.max("readability_difficulty").alias("given_grade"))
     shaped = materialize(R.text_shape(papers, "abstract").drop("abstract").join(given, "paper_key", "left"), "abstract-words")
     familiar = R.familiar_words(shaped, "given_grade")
-    features = R.formula_features(shaped, familiar, ["paper_key", "given_grade", "words", "sentences"])
-    coefficients, spread = R.fit_formula(features, "given_grade", "paper_key")
-    return features.withColumn("grade", R.formula_grade(coefficients)), spread
+    features = R.formula_features(shaped, familiar, ["paper_key", "given_grade"])
+    coefficients, _ = R.fit_formula(features, "given_grade", "paper_key")
+    return features.withColumn("grade", R.formula_grade(coefficients))
 
 
 def p4_levels(spark: SparkSession, d: str) -> DataFrame:
     """A school grade for every abstract, with the features it comes from and the given grade beside it."""
-    f, _ = graded(spark, d)
-    return f.select("paper_key", "n_words", "unfamiliar", "sentence_length", "grade", "given_grade")
+    return graded(spark, d).select("paper_key", "n_words", "unfamiliar", "sentence_length", "grade", "given_grade")
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +36,5 @@ def p4_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Abstracts of grade 8 or lower: put there or near there by the formula, then checked by the exact grade."""
-    f, spread = graded(spark, d)
-    near = f.filter(F.col("grade") <= LIMIT_GRADE + CHECKED_SPREADS * spread)
-    return near.filter(R.flesch_kincaid("words", "sentences") <= LIMIT_GRADE).select("paper_key")
+    """Abstracts that the formula puts at grade 8 or lower."""
+    return graded(spark, d).filter(F.col("grade") <= LIMIT_GRADE).select("paper_key")

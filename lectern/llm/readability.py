@@ -6,21 +6,17 @@ others): at rate ``c`` it has at most (mean distinct words per easy text) / c wo
 the corpus is.  Document frequencies cover all graded texts; the three coefficients are fitted, with outlying grades
 left out in turn, on a bounded sample of graded rows.  Without graded texts the list is that of the whole corpus and
 the coefficients are fixed ones.
-
-``flesch_kincaid`` is the exact grade of the same scale, used to check what the formula puts near a threshold.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed patterns: words, and the marks that end a sentence.
 WORD = r"\p{L}+(?:['’\-]\p{L}+)*"
@@ -75,13 +71,16 @@ def familiar_words(shaped: DataFrame, grade: str) -> frozenset[str]:
     return frozenset(r["w"] for r in kept.select("w").collect())
 
 
-def _shares(familiar, names: list[str]):
-    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = familiar.value
-        for f in frames:
-            n = f["words"].map(len)
-            out = f["words"].map(lambda ws: sum(w not in known for w in ws))
-            yield f[names].assign(n_words=n.astype("int32"), unfamiliar=out / n, sentence_length=n / f["sentences"])
+def _shares(familiar, keep: list[str]):
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sorted(familiar.value), pa.string())
+        for b in batches:
+            lists = b.column("words")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)  # rows without words were dropped
+            out = ~pc.is_in(lists.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            unfamiliar = np.add.reduceat(out.astype(np.int64), np.cumsum(n) - n) if len(n) else np.zeros(0)
+            arrays = [pa.array(n.astype(np.int32)), pa.array(unfamiliar / n), pa.array(n / b.column("sentences").to_numpy())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *arrays], names=[*keep, "n_words", "unfamiliar", "sentence_length"])
 
     return shares
 
@@ -90,7 +89,7 @@ def formula_features(shaped: DataFrame, familiar: frozenset[str], keep: list[str
     """``keep`` with ``n_words``, ``unfamiliar`` and ``sentence_length``."""
     held = shaped.sparkSession.sparkContext.broadcast(familiar)
     types = ", ".join(f"`{c}` {shaped.schema[c].dataType.simpleString()}" for c in keep)
-    return shaped.select(*dict.fromkeys([*keep, "words", "sentences"])).mapInPandas(_shares(held, keep), f"{types}, n_words int, unfamiliar double, sentence_length double")
+    return shaped.select(*dict.fromkeys([*keep, "words", "sentences"])).mapInArrow(_shares(held, keep), f"{types}, n_words int, unfamiliar double, sentence_length double")
 
 
 def fit_formula(features: DataFrame, grade: str, key: str) -> tuple[tuple[float, float, float], float]:
@@ -116,18 +115,3 @@ def fit_formula(features: DataFrame, grade: str, key: str) -> tuple[tuple[float,
 def formula_grade(coefficients: tuple[float, float, float]) -> Column:
     a, b, c = coefficients
     return F.greatest(F.lit(0.0), F.lit(a) + F.lit(b) * F.col("unfamiliar") + F.lit(c) * F.col("sentence_length"))
-
-
-def _syllables(word: str) -> int:
-    letters = "".join(c for c in unicodedata.normalize("NFKD", word) if c.isalpha()).casefold()
-    groups = len(re.findall("[aeiouy]+", letters))
-    silent = letters.endswith("e") and not letters.endswith(("le", "ye")) and groups > 1
-    return max(1, groups - silent)
-
-
-@F.pandas_udf(T.DoubleType())
-def flesch_kincaid(ws: pd.Series, n_sentences: pd.Series) -> pd.Series:
-    """0.39 words per sentence + 11.8 syllables per word - 15.59, at least 0."""
-    n = ws.map(len)
-    s = ws.map(lambda x: sum(map(_syllables, x)))
-    return (0.39 * n / n_sentences + 11.8 * s / n - 15.59).clip(lower=0)
