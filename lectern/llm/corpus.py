@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import slug
-from lectern.llm.mixing import language, mix, mix_report, topic
+from lectern.llm.mixing import language, marginal_report, mix, mix_report, topic
 from lectern.llm.packing import pack
 from lectern.llm.tokens import VOCABULARY, measured
 from lectern.sources.tables import table
@@ -32,11 +32,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_packing(spark, d).filter((F.col("pieces") > 1) & (F.col("piece") == 1)).select("doc_id")
 
 
-def _mixed(spark: SparkSession, d: str):
+def _mixed(spark: SparkSession, d: str, total: str = "corpus"):
     docs = table(spark, d, "documents").select("doc_id", "text", slug("source").alias("source"), language("lang").alias("lang"))
     sized = measured(docs, "text", ["doc_id", "source", "lang"]).withColumn("topic", topic()).select("doc_id", "source", "lang", "topic", "n_tokens")
     targets = table(spark, d, "mix_targets").filter("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas()
-    return mix(materialize(sized, "mix-sizes"), targets, "doc_id")
+    return mix(materialize(sized, "mix-sizes"), targets, "doc_id", total=total)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +48,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mixed(spark, d))
 
 
+def p9_met_report(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a mix only as large as lets every source with documents give its share."""
+    return mix_report(*_mixed(spark, d, "met"))
+
+
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and actual shares of sources, languages and topics, and how far raking settled."""
+    return marginal_report(*_mixed(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that stay below their target however often they may be repeated."""
-    return p9_report(spark, d).filter(F.col("is_short") & (F.col("most_copies") <= F.col("max_repeats"))).select("source")
+    """Sources of which the drawn mix holds every copy allowed and still less than their share."""
+    return p9_report(spark, d).filter("is_short").select("source")

@@ -14,7 +14,7 @@ def queries():
         "p6_found": duplicates.p6_found, "p6_groups": duplicates.p6_groups,
         "p7_found": papers.p7_found, "p7_selected": papers.p7_selected,
         "p8_found": corpus.p8_found, "p8_packing": corpus.p8_packing, "p8_fill": corpus.p8_fill,
-        "p9_found": corpus.p9_found, "p9_report": corpus.p9_report, "p9_mix": corpus.p9_mix,
+        "p9_found": corpus.p9_found, "p9_report": corpus.p9_report, "p9_mix": corpus.p9_mix, "p9_met_report": corpus.p9_met_report, "p9_marginals": corpus.p9_marginals,
         "p10_found": appearance.p10_found, "p10_classes": appearance.p10_classes, "p10_forms": appearance.p10_forms,
     }
 

@@ -1,7 +1,8 @@
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lectern.llm.mixing import mix, mix_report, rake
+from lectern.llm.mixing import filled, marginal_report, mix, mix_report, rake
 
 
 def docs(spark, n=4000):
@@ -41,3 +42,39 @@ def test_empty_and_null_sources(spark):
     for df in (none, none.filter(F.lit(False))):
         drawn, plan = mix(df, TARGETS, "k")
         assert drawn.count() == 0 and all(r.is_short for r in mix_report(drawn, plan).filter("target_share > 0 AND wanted > 0").collect())
+
+
+def test_filled_keeps_caps_and_goals():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = rng.integers(1, 12)
+        code = np.sort(rng.integers(0, 3, n))
+        weight, cap = rng.random(n) + 0.01, rng.random(n) * 2 + 0.01
+        goal = np.bincount(code, cap, 3) * rng.choice([0.2, 0.7, 1.0], 3)
+        out = filled(weight, cap, code, goal)
+        assert (out <= cap).all() and np.allclose(np.bincount(code, out, 3), goal)
+
+
+def test_one_draw_for_a_source_of_any_size_and_any_partitioning(spark):
+    big = spark.range(60_000).select(F.col("id").alias("k"), F.lit("big").alias("source"), F.lit("en").alias("lang"), F.lit(0).alias("topic"), (F.col("id") % 997 + 1).alias("n_tokens"))
+    rest = big.filter("k < 600").withColumn("source", F.lit("mid")).withColumn("k", F.col("k") + 1_000_000)
+    targets = pd.DataFrame({"source": ["big", "mid"], "target_share": [0.97, 0.03], "max_repeats": [1, 8]})
+    draws = []
+    for parts in (1, 9):
+        drawn, plan = mix(big.unionByName(rest).repartition(parts), targets, "k")
+        rep = {r.source: r for r in mix_report(drawn, plan).collect()}
+        # One systematic draw is off by two documents at most, however large the source is.
+        assert all(abs(rep[s].mixed_tokens - rep[s].wanted) <= 2 * 997 for s in rep)
+        draws.append({(r.k, r.copies) for r in drawn.select("k", "copies").collect()})
+    assert draws[0] == draws[1] and len(draws[0]) > 50_000
+
+
+def test_smaller_mix_that_meets_all_shares_and_marginals(spark):
+    drawn, plan = mix(docs(spark), TARGETS, "k", total="met")
+    rep = {r.source: r for r in mix_report(drawn, plan).collect()}
+    assert abs(rep["tiny"].mixed_tokens / rep["tiny"].wanted - 1) < 1e-9 and not rep["big"].is_short
+    assert all(abs(rep[s].actual_share * 0.95 / rep[s].target_share - 1) < 0.03 for s in ("big", "mid", "tiny"))
+    m = marginal_report(drawn, plan).collect()
+    assert {r.dimension for r in m} == {"source", "lang", "topic"} and all(abs(r.actual_share - r.wanted_share) < 0.03 for r in m if r.dimension != "source")
+    # All of tiny is of one topic, more than that topic's share of the corpus: raking can't meet both, and says so.
+    assert plan.residual > 0.1
