@@ -42,7 +42,8 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_report(spark, d).filter("unmet").select(POOL, "dimension", "category")
+    """Targets that the sample misses because their pool has too few professors of the category."""
+    return p1_report(spark, d).filter("reason = 'too_few'").select(POOL, "dimension", "category")
 
 
 _PROFESSORS = """
