@@ -6,14 +6,15 @@ it): a look-alike letter composed with an accent is mapped as the same two chara
 collation in SQL, which treats composed and decomposed accents alike and passes over ignorable characters.  Each
 class has one canonical member, chosen by rule, which is joined back to all of its members.
 
-Whole texts aren't shuffled for that: rows are first blocked by a 64-bit hash of what canonical equivalence leaves
-alone (the ASCII rest of the mapped text), and only texts in blocks with at least two different texts go on, to have
-their accents parted and be compared.
+Whole texts aren't shuffled for that: rows are first blocked by a 64-bit hash of what neither canonical equivalence nor
+ignorable characters can change (letters without their accents, digits and ASCII of the mapped text, in any script), and
+only one copy of each text in blocks with at least two different texts goes on, to have its accents parted and be compared.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,13 @@ from lectern.storage import materialize
 # Letters that look like a Latin letter in common typefaces.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХЅІЈЁёЇї", "aeopcyxijshdqwABEKMHOPCTYXSIJËëÏï"))
 GREEK = dict(zip("ονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpABEZHIKMNOPTYX"))
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 #: Spaces of other widths, with the no-break ones.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Characters without a mark of their own on the page.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff"
-#: Full-width forms of the printable ASCII characters, by rule.
-FULL_WIDTH = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f\ufeff\uffa0"
+#: Full-width and half-width forms, by the rule of the character database; joined letters of its Latin and Armenian blocks and digraphs.
+FULL_WIDTH = {c: chr(int(d[1], 16)) for c in map(chr, range(0xFF01, 0xFFEF)) if (d := unicodedata.decomposition(c).split()) and d[0] in ("<wide>", "<narrow>") and c != "\uffa0"}
+JOINED = {c: unicodedata.normalize("NFKC", c) for c in map(chr, [0x132, 0x133, *range(0x1C7, 0x1CD), *range(0x1F1, 0x1F4), *range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18)])}
 #: Characters canonically equal to an ASCII one (Greek question mark, varia, Kelvin sign).
 SINGLETONS = {"\u037e": ";", "\u1fef": "`", "\u212a": "K"}
 
@@ -49,12 +50,33 @@ def composed(texts: pd.Series) -> pd.Series:
 def _mapped(c: Column, single: dict[str, str]) -> Column:
     single = single | SINGLETONS
     source, target = "".join(single), "".join(single.values())
-    out = F.translate(c, source + SPACES + INVISIBLE, target + " " * len(SPACES))
-    for joined, letters in LIGATURES.items():
-        out = F.replace(out, F.lit(joined), F.lit(letters))
+    out = F.translate(_parted(c), source + SPACES + INVISIBLE, target + " " * len(SPACES))
     return F.regexp_replace(out, r"^[ \t]+|[ \t]+$", "")
 
 
+def _parted(c: Column) -> Column:
+    """Joined letters as the letters they stand for."""
+    out = c
+    for joined, letters in JOINED.items():
+        out = F.replace(out, F.lit(joined), F.lit(letters))
+    return F.when(c.rlike("[" + "".join(JOINED) + "]"), out).otherwise(c)
+
+
+@lru_cache(maxsize=1)
+def _bases() -> tuple[dict[str, str], str]:
+    """Every character that is canonically composed to its one base letter, and those of marks alone; Hangul aside."""
+    base, none = {}, []
+    for c in map(chr, range(0x80, 0x30000)):
+        d = unicodedata.decomposition(c)
+        if d and d[0] != "<":
+            letters = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M"]
+            if len(letters) == 1:
+                base[c] = letters[0]
+            else:
+                none.append(c)
+    return base, "".join(none)
+
+
 def skeleton(c: Column | str) -> Column:
     """The text with every look-alike mapped; for comparing, not for reading (Cyrillic words become mixed).
 
@@ -72,9 +94,18 @@ def plain_form(c: Column | str) -> Column:
     return F.when(disguised, _mapped(light, CYRILLIC | GREEK)).otherwise(light)
 
 
-def block(skel: Column) -> Column:
-    """Hash of what composing and decomposing accents can't change: letters with marks are left out either way."""
-    return F.xxhash64(F.regexp_replace(skel, r".\p{M}+|[^\x00-\x7f]", ""))
+def block(c: Column | str) -> Column:
+    """Hash of a text's skeleton without anything that composing, decomposing or ignoring characters can change.
+
+    Letters lose their accents by a table of all composed ones, other marks and signs beyond ASCII are dropped, and so
+    are Hangul syllables, which decompose into several letters."""
+    c = F.col(c) if isinstance(c, str) else c
+    base, none = _bases()
+    single = FULL_WIDTH | CYRILLIC | GREEK | SINGLETONS
+    table = {x: single.get(base.get(y, y), base.get(y, y)) for x, y in (base | single).items()}
+    out = F.translate(_parted(c), "".join(table) + SPACES + INVISIBLE + none, "".join(table.values()) + " " * len(SPACES))
+    rest = F.regexp_replace(out, r"^[ \t]+|[ \t]+$|[^\x00-\x7f\p{L}\p{N}]+|[\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff]+", "")
+    return F.xxhash64(rest)
 
 
 def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -90,20 +121,25 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     ``df`` are ignored, whatever their names.
     """
     base = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull() & F.col("t").isNotNull()).withColumn("text_id", F.md5("t"))
-    narrow = materialize(base.select("k", "text_id", block(skeleton("t")).alias("b")), "lookalike-blocks")
+    narrow = materialize(base.select("k", "text_id", block("t").alias("b")), "lookalike-blocks")
     several = narrow.groupBy("b").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).filter("lo <> hi").select("b")
     near_keys = materialize(narrow.join(several, "b", "left_semi").select("k", "text_id").distinct(), "lookalike-near")
-    near = base.join(near_keys, ["k", "text_id"]).withColumn("d", decomposed("t")).withColumn("m", skeleton("d")).withColumn("s", composed("m"))
-    texts = near.groupBy("text_id").agg(F.min("k").alias("first_key"), F.first("s").alias("s"), F.bool_or(F.col("m") == F.col("d")).alias("plain"))
+    # One copy of each text is mapped and compared, however many there are.
+    first = near_keys.groupBy("text_id").agg(F.min("k").alias("k"))
+    near = base.join(first, ["k", "text_id"]).withColumn("d", decomposed("t")).withColumn("m", skeleton("d"))
+    texts = near.select("text_id", F.col("k").alias("first_key"), composed("m").alias("s"), (F.col("m") == F.col("d")).alias("plain")).dropDuplicates(["text_id"])
+    texts = materialize(texts, "lookalike-texts")
     texts.createOrReplaceTempView("lectern_lookalike_texts")
-    classes = df.sparkSession.sql(
+    members = df.sparkSession.sql(
         """
-        SELECT min_by(text_id, (NOT plain, first_key)) AS canonical_text, min_by(first_key, (NOT plain, first_key)) AS canonical_key,
-               collect_set(text_id) AS members
-        FROM lectern_lookalike_texts GROUP BY s COLLATE UNICODE HAVING count(*) > 1
+        WITH classes AS (
+          SELECT min(s) AS s, min_by(text_id, (NOT plain, first_key)) AS canonical_text, min_by(first_key, (NOT plain, first_key)) AS canonical_key
+          FROM lectern_lookalike_texts GROUP BY s COLLATE UNICODE HAVING count(*) > 1)
+        SELECT t.text_id, c.canonical_text AS class_id, c.canonical_key
+        FROM lectern_lookalike_texts t JOIN classes c ON t.s COLLATE UNICODE = c.s COLLATE UNICODE
         """
     )
-    members = materialize(classes.select("canonical_key", F.col("canonical_text").alias("class_id"), F.explode("members").alias("text_id")), "lookalike-members")
+    members = materialize(members, "lookalike-members")
     return near_keys.join(members, "text_id").select(F.col("k").alias(key), "text_id", "class_id", "canonical_key")
 
 

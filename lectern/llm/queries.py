@@ -26,4 +26,5 @@ def oracle_sql():
         "p7_found": papers.P7_ORACLE.format(columns="professor_id, paper_id"),
         "p7_selected": papers.P7_ORACLE.format(columns="professor_id, paper_id, complexity_score"),
         "p10_found": appearance.P10_FOUND_ORACLE,
+        "p10_classes": appearance.P10_CLASSES_ORACLE,
     }

@@ -2,7 +2,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from lectern.llm.lookalike import CYRILLIC, GREEK, composed, decomposed, lookalike_classes, lookalike_pairs, plain_form, skeleton
+from lectern.llm.lookalike import CYRILLIC, GREEK, block, composed, decomposed, lookalike_classes, lookalike_pairs, plain_form, skeleton
 
 TEXTS = {
     1: "A café at 5 o'clock", 2: "A café at 5 o'clock", 3: "Ａ café at ５ o'clock", 4: "А café at 5 o'clock", 5: "A ca​fé at 5 o'clock", 6: "A cafe at 5 o'clock",
@@ -52,3 +52,24 @@ def test_canonically_equal_texts_are_one_class(spark):
 def test_readable_form_of_composed_letters(spark):
     df = spark.createDataFrame([("cόat",), ("cο\u0301at",), ("λόγος abc",), ("\u044f\u0301\u044f abc\u043e",)], "t string")
     assert [r.f for r in df.select(composed(plain_form(decomposed("t"))).alias("f")).collect()] == ["cóat", "cóat", "λόγος abc", "\u044f\u0301\u044f abc\u043e"]
+
+
+def test_width_forms_and_joined_letters_by_rule(spark):
+    texts = ["\uff76\uff9e\uff92 a", "\u30ac\u30e1 a", "\u0133 x", "ij x", "\ufb13 y", "\u0574\u0576 y", "\uffe6 5", "\u20a9 5"]
+    of = {r.id: r.class_id for r in lookalike_classes(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()}
+    assert len(of) == len(texts) and all(of[i] == of[i + 1] for i in range(0, len(texts), 2)) and len(set(of.values())) == 4
+
+
+def test_blocks_part_texts_of_other_scripts_and_keep_equal_ones_together(spark):
+    words = ["\u043c\u0438\u0440", "\u043c\u0438\u0440\u044b", "\u03bb\u03cc\u03b3\u03bf\u03c2", "\u4f60\u597d", "\ud55c\uae00 a", "\u0915\u093c \u0958", "caf\u00e9", "\u1e69\u0323"]
+    forms = [(i, unicodedata.normalize(f, w)) for i, w in enumerate(words) for f in ("NFC", "NFD")]
+    got = {}
+    for r in spark.createDataFrame(forms, "i int, t string").select("i", block("t").alias("b")).collect():
+        got.setdefault(r.i, set()).add(r.b)
+    assert all(len(b) == 1 for b in got.values()) and len({min(b) for b in got.values()}) == len(words)
+
+
+def test_a_text_of_very_many_copies_is_compared_once(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, "same text").otherwise("same t\u0435xt").alias("t"))
+    m = lookalike_classes(df, "id", "t")
+    assert m.count() == 30_000 and m.select("text_id").distinct().count() == 2 and {r.canonical_key for r in m.select("canonical_key").distinct().collect()} == {0}
