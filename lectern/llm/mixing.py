@@ -147,7 +147,7 @@ def mix_report(drawn: DataFrame, plan: MixPlan) -> DataFrame:
     total = F.sum("mixed_tokens").over(_everything())
     out = sources.join(taken, "source", "left").fillna(0, ["mixed_tokens", "most_copies"])
     spent = F.col("mixed_tokens") >= F.col("tokens") * F.col("max_repeats")
-    return out.withColumns({"is_short": spent & (F.col("mixed_tokens") < F.col("wanted")), "actual_share": F.try_divide(F.col("mixed_tokens").cast("double"), total)})
+    return out.withColumns({"is_short": spent & (F.col("mixed_tokens") < F.col("wanted") * (1 - 1e-9)), "actual_share": F.try_divide(F.col("mixed_tokens").cast("double"), total)})
 
 
 def marginal_report(drawn: DataFrame, plan: MixPlan) -> DataFrame:

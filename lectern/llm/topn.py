@@ -1,10 +1,10 @@
-"""Problem 7: the N best items of every group, by merging sorted runs with a loser tree.
+"""Problem 7: the N best items of every group, by merging stored sorted runs with a loser tree.
 
-Every partition of the deduplicated input is a run: it is sorted by group, score and tie key, and only the
-first N items of each group leave it.  Runs are hash-partitioned over the input's own key, so a group of any
-size is spread over all runs and no task sees more than ``runs * N`` of its items afterwards.  The second
-pass receives a bucket's part of every run and merges the runs with a loser tree; after N outputs of a group
-every run seeks to its next group.
+Every partition of the input is a run: it is sorted by group, score and tie key, and only the first N items of each
+group are stored.  The stored runs are then merged, FAN_IN at a time and in as many levels as that takes, so that a task
+meets at most ``FAN_IN * N`` items of a group however many runs there are and however large the group is.  A merging
+task reads its runs in order of group as a stream and holds one stretch of whole groups; a loser tree picks the next
+item among the runs, and after N outputs of a group every run seeks to its next group.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.storage import materialize
+
+#: Runs that are merged at once.
+FAN_IN = 64
+
 
 class LoserTree:
     """Tournament over k sorted runs; ``pop`` costs one comparison per level.
@@ -115,26 +120,47 @@ def _run_head(n: int, group: str):
     return head
 
 
-def _merge(n: int, names: list[str]):
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        run = t.column("__run").to_numpy()
+def _starts(b: pa.RecordBatch, fan_in: int) -> np.ndarray:
+    """Whether a row begins another group or another set of runs than the row before it; the first one does."""
+    bucket = b.column("__run").to_numpy(zero_copy_only=False) // fan_in
+    new = np.ones(b.num_rows, bool)
+    g = b.column("__g")
+    new[1:] = pc.not_equal(g.slice(1), g.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1])
+    return new
+
+
+def _merge(n: int, fan_in: int):
+    """First n rows of each group of each set of ``fan_in`` runs; rows come sorted by group, run, score and tie key."""
+
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        group = np.cumsum(_starts(t, fan_in))
+        run = t.column("__run").to_numpy(zero_copy_only=False)
+        score, tie = t.column("__s").to_pylist(), t.column("__t").to_pylist()
         order = np.argsort(run, kind="stable")
-        bounds = np.flatnonzero(np.diff(run[order])) + 1
-        runs, rows = [], []
-        for idx in np.split(order, bounds):
-            part = t.take(pa.array(idx))
-            keys = (part.column("__g").to_pylist(), part.column("__s").to_pylist(), part.column("__t").to_pylist())
-            if any(keys[0][i] > keys[0][i + 1] or (keys[0][i] == keys[0][i + 1] and (keys[1][i], keys[2][i]) > (keys[1][i + 1], keys[2][i + 1])) for i in range(len(idx) - 1)):
-                again = sorted(range(len(idx)), key=lambda i: (keys[0][i], keys[1][i], keys[2][i]))  # blocks of a spilled map task may arrive in another order
-                idx, keys = idx[again], tuple([k[i] for i in again] for k in keys)
-            runs.append(keys)
-            rows.append(idx)
-        picked = np.fromiter((rows[r][i] for r, i in merge_runs(runs, n)), np.int64)
-        yield from t.select(names).take(pa.array(picked)).combine_chunks().to_batches()
+        rows = [idx.tolist() for idx in np.split(order, np.flatnonzero(np.diff(run[order])) + 1)]
+        runs = [(group[idx].tolist(), [score[i] for i in idx], [tie[i] for i in idx]) for idx in rows]
+        picked = t.take(pa.array([rows[r][i] for r, i in merge_runs(runs, n)], pa.int64()))
+        bucket = picked.column("__run").to_numpy(zero_copy_only=False) // fan_in
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *picked.columns[1:]], names=picked.schema.names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = [(b.column("__g")[i].as_py(), b.column("__run")[i].as_py() // fan_in) for i in (0, b.num_rows - 1)]
+            if held and ends[0] != last:
+                yield from merged(held)
+                held = []
+            if ends[0] != ends[1]:
+                cut = int(np.flatnonzero(_starts(b, fan_in))[-1])
+                yield from merged([*held, b.slice(0, cut)])
+                held, b = [], b.slice(cut)
+            held.append(b)
+            last = ends[1]
+        if held:
+            yield from merged(held)
 
     return merge
 
@@ -153,6 +179,13 @@ def top_n_per_group(df: DataFrame, group: str, score: Column | str, tie: str, n:
     picked = df.select(F.col(group).alias("__g"), (-s).alias("__s"), F.col(tie).alias("__t"), "*")
     keyed = picked.toDF("__g", "__s", "__t", *own).filter("__g IS NOT NULL AND __t IS NOT NULL AND __s IS NOT NULL AND NOT isnan(__s)")
     runs = keyed.sortWithinPartitions("__g", "__s", "__t")
-    heads = runs.mapInArrow(_run_head(n, "__g"), T.StructType([T.StructField("__run", T.IntegerType()), *keyed.schema.fields]))
-    merged = heads.repartition(F.col("__g")).mapInArrow(_merge(n, own), T.StructType(keyed.select(*own).schema.fields))
-    return merged.toDF(*df.columns)
+    schema = T.StructType([T.StructField("__run", T.IntegerType()), *keyed.schema.fields])
+    level = materialize(runs.mapInArrow(_run_head(n, "__g"), schema), "topn-runs")
+    n_runs = (level.agg(F.max("__run")).first()[0] or 0) + 1
+    while True:  # once for up to FAN_IN runs
+        bucket = (F.col("__run") / F.lit(FAN_IN)).cast("int")
+        sets = level.repartition("__g", bucket) if n_runs > FAN_IN else level.repartition("__g")
+        level = sets.sortWithinPartitions("__g", "__run", "__s", "__t").mapInArrow(_merge(n, FAN_IN), schema)
+        n_runs = -(-n_runs // FAN_IN)
+        if n_runs == 1:
+            return level.select(*own).toDF(*df.columns)

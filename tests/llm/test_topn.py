@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.llm import topn
 from lectern.llm.topn import LoserTree, merge_runs, top_n_per_group
 
 
@@ -52,3 +53,16 @@ def test_empty_frame_clashing_names_and_bad_n(spark):
     assert top_n_per_group(df.filter(F.lit(False)), "__g", "__run", "c0", 2).count() == 0
     with pytest.raises(ValueError):
         top_n_per_group(df, "__g", "__run", "c0", 0)
+
+
+def test_several_levels_of_runs_and_a_group_of_half_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(topn, "FAN_IN", 2)
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.5 else f"g{rnd.randrange(300)}", float(rnd.randrange(50)), f"t{rnd.randrange(200):03d}") for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g string, s double, t string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = sorted(tuple(r) for r in top_n_per_group(df, "g", "s", "t", 5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows, 5)
