@@ -1,20 +1,22 @@
 """Problem 5: variant spellings of personal names, linked to the people they stand for.
 
 Names are parsed into given name, initials and family name (titles, order, case, accents, joined or split parts).
-Family names with the initial of the given name are looked up by MinHash banding over padded q-grams; how many bands
-there are follows from the collision curve and the recall wanted at the similarity of one transposition.  In short
-names a transposition leaves less than that; those meet exactly, on what is left of both with one letter deleted.  Candidates
-are verified by a Monge-Elkan similarity of the parts, and linked profiles are clustered by stars: a profile that no
-better linked neighbour outranks is a centre, its neighbours go to the centre they resemble most.  Other entries go to
-the one star they resemble most, or to none where two fit equally well.
+Family names are looked up by MinHash banding over padded q-grams.  How many bands a name has follows from the collision
+curve: as many as give the wanted recall at the least similarity that the verification still accepts for a name of its
+length.  Very short names would need hundreds; those meet exactly, on what is left of both with one letter deleted.
+Postings are a band key, a hash of the name and a small signature of its q-grams; nothing else is shuffled, and a bucket
+of very many names is split into pairs of blocks.  Candidates are verified by a Monge-Elkan similarity over the tokens
+of both names, and linked profiles are clustered by stars: a profile that no better linked neighbour outranks is a
+centre, its neighbours go to the centre they resemble most.  Other entries go to the one star they resemble most, or to
+none where two fit equally well.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping
-from functools import lru_cache
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache, reduce
 from math import ceil, log
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lectern.storage import materialize
 
-# Short forms of given names, and titles.
+# Common short forms of given names (the default of a parameter), and titles.
 SHORT_FORMS = {
     "alexander": "alex sasha sandy xander", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny benji", "catherine": "cathy cate",
     "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "edward": "ed eddie ned ted",
@@ -36,14 +38,25 @@ SHORT_FORMS = {
     "samuel": "sam sammy", "stephen": "steve", "steven": "steve", "susan": "sue susie suzy", "theodora": "thea dora", "theodore": "theo ted",
     "thomas": "tom tommy", "victoria": "vicky tori", "william": "will bill billy willy", "bjorn": "bjoern",
 }
-FULL_FORM = {short: full for full, all_short in SHORT_FORMS.items() for short in all_short.split()}
+
+
+def full_forms(short_forms: Mapping[str, str]) -> dict[str, str]:
+    """Each short form's full form, of a table from full form to its short ones."""
+    return {short: full for full, all_short in short_forms.items() for short in all_short.split()}
+
+
+FULL_FORM = full_forms(SHORT_FORMS)
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame".split())
 #: A word in at least this share of the distinct names is taken for a given name; so there are few of them at any size.
 GIVEN_RATE = 0.001
-#: Q-gram similarity that one transposition in a name of eight letters leaves, the recall wanted there, rows of a band.
-LEAST_SIMILARITY, RECALL, ROWS, GRAM = 0.5, 0.97, 4, 2
-#: Letters up to which names are looked up by deletions.
-SHORT = 8
+#: Recall wanted of banding, rows of a band, letters of a q-gram.
+RECALL, ROWS, GRAM = 0.97, 4, 2
+#: Letters up to which names are looked up by deletions, and from which two errors are accepted instead of one.
+SHORT, TWO_ERRORS = 8, 12
+#: Fewest letters of a name in which an error is accepted.
+LEAST_LETTERS = 5
+#: Names of a bucket that one task compares with each other or with as many others.
+BLOCK = 2000
 LEAST_MONGE_ELKAN = 0.85
 
 
@@ -52,19 +65,50 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
     return max(1, ceil(log(1 - recall) / log(1 - similarity**rows)))
 
 
+def changed_grams(letters: int) -> int:
+    """Q-grams of a name that the accepted errors change at most: a swap, or two other errors in a longer name."""
+    return 2 * GRAM if letters >= TWO_ERRORS else GRAM + 1
+
+
+def least_similarity(letters: int) -> float:
+    """Least similarity of the q-gram sets of a name of this length and one accepted as its spelling."""
+    grams, changed = letters + GRAM - 1, changed_grams(letters)
+    if letters == TWO_ERRORS - 1:  # beside the longer name: one letter more and another changed
+        return (grams - changed) / (grams + changed + 1)
+    return max(grams - changed, 1) / (grams + changed)
+
+
+def bands_of_length(letters: int) -> int:
+    return bands_for(least_similarity(letters), RECALL, ROWS)
+
+
 def words_of(name: str) -> list[list[str]]:
     """Folded words before and after the first comma, titles left out."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).casefold().replace("ø", "o").replace("ł", "l")
     return [[w for w in re.findall(r"[^\W\d_]+", part) if w not in TITLES] for part in plain.split(",", 1)]
 
 
-_LISTED = frozenset(FULL_FORM) | frozenset(SHORT_FORMS)
+class GivenNames:
+    """Given names met often (with their counts) and listed ones; reads a word as the full form of one."""
+
+    def __init__(self, counts: Mapping[str, int], full: Mapping[str, str] = FULL_FORM) -> None:
+        self.counts, self.full = dict(counts), dict(full)
+        self.listed = self.full.keys() | set(self.full.values())
+        self.known = self.counts.keys() | self.listed
+        self.read = lru_cache(maxsize=100_000)(self._read)
+
+    def _read(self, given: str) -> str:
+        """The full form; a word that is one typing error away from exactly one known given name is read as that."""
+        if given in self.full or given in self.known or len(given) < 4:
+            return self.full.get(given, given)
+        near = {self.full.get(g, g) for g in self.known if len(g) > 3 and one_error(given, g)}
+        return near.pop() if len(near) == 1 else given
 
 
-def parse_name(name: str, givens: frozenset[str], counts: Mapping[str, int] | None = None) -> tuple[str, str, str, str]:
+def parse_name(name: str, givens: GivenNames) -> tuple[str, str, str, str]:
     """(given name in full form or an initial, initial as typed, further initials, family name); parts may be empty.
 
-    In a name without a comma the given name is a known one (a listed one, then the commonest by ``counts``, then the
+    In a name without a comma the given name is a known one (a listed one, then the commonest by its count, then the
     first), else an initial, else the first word.  All other words of more than one letter are the family name, joined.
     """
     parts = words_of(name)
@@ -72,31 +116,22 @@ def parse_name(name: str, givens: frozenset[str], counts: Mapping[str, int] | No
         given, family, rest = parts[1][0], parts[0], parts[1][1:]
     else:
         words = [w for p in parts for w in p]
-        full = [w for w in words if len(w) > 1]
-        known = [w for w in full if w in givens]
+        long = [w for w in words if len(w) > 1]
+        known = [w for w in long if w in givens.known]
         single = [w for w in words if len(w) == 1]
-        if len(full) > 1 and known:
-            given = max(known, key=lambda w: (w in _LISTED, (counts or {}).get(w, 0)))
-        elif single and (len(full) == 1 or words[0] in single):
+        if len(long) > 1 and known:
+            given = max(known, key=lambda w: (w in givens.listed, givens.counts.get(w, 0)))
+        elif single and (len(long) == 1 or words[0] in single):
             given = single[0]
-        elif full:
-            given = full[0] if len(full) > 1 else ""
+        elif long:
+            given = long[0] if len(long) > 1 else ""
         else:
             given = single[0] if single else ""
         left = list(words)
         if given:
             left.remove(given)
         family, rest = [w for w in left if len(w) > 1], [w for w in left if len(w) == 1]
-    return _full_given(given, givens), given[:1], "".join(w[0] for w in rest), "".join(family)
-
-
-@lru_cache(maxsize=100_000)
-def _full_given(given: str, givens: frozenset[str]) -> str:
-    """The full form; a word that is one typing error away from exactly one known given name is read as that."""
-    if given in FULL_FORM or given in givens or len(given) < 4:
-        return FULL_FORM.get(given, given)
-    near = {FULL_FORM.get(g, g) for g in givens if len(g) > 3 and one_error(given, g)}
-    return near.pop() if len(near) == 1 else given
+    return givens.read(given), given[:1], "".join(w[0] for w in rest), "".join(family)
 
 
 def one_error(a: str, b: str) -> bool:
@@ -115,14 +150,13 @@ def family_spellings(family: str) -> list[str]:
     return list(dict.fromkeys([family, re.sub("([aou])e|aa", lambda m: m[1] or "a", family)]))
 
 
-def _parse(givens):
+def _parse(givens, full: Mapping[str, str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = givens.value
-        known = frozenset(counts) | _LISTED
+        known = GivenNames(givens.value, full)
         for f in frames:
             rows = []
             for n in f["name"]:
-                given, typed, middle, family = parse_name(n, known, counts)
+                given, typed, middle, family = parse_name(n, known)
                 rows += [(n, given, typed, middle, spelling) for spelling in family_spellings(family)]
             yield pd.DataFrame(rows, columns=["name", "given", "typed", "middle", "family"], dtype=object)
 
@@ -134,45 +168,53 @@ def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": [w for n in f["name"] for p in words_of(n) for w in set(p) if len(w) > 1]}, dtype=object)
 
 
-def parsed_names(names: DataFrame) -> DataFrame:
+def parsed_names(names: DataFrame, short_forms: Mapping[str, str] = SHORT_FORMS) -> DataFrame:
     """(name, given, typed, middle, family, form) of the distinct values of ``names.name``, a row for each spelling of the
-    family name; those without one are dropped."""
+    family name; those without one are dropped.  ``short_forms`` has the short forms of given names by their full one."""
+    full = FULL_FORM if short_forms is SHORT_FORMS else full_forms(short_forms)
     distinct = materialize(names.select("name").filter("name IS NOT NULL").distinct(), "names-distinct")
     least = max(8, int(GIVEN_RATE * distinct.count()))
     counted = distinct.mapInPandas(_words, "word string").groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     givens = {r["word"]: r["n"] for r in counted.collect()}  # at most words per name / GIVEN_RATE
-    parsed = distinct.mapInPandas(_parse(names.sparkSession.sparkContext.broadcast(givens)), "name string, given string, typed string, middle string, family string")
+    parsed = distinct.mapInPandas(_parse(names.sparkSession.sparkContext.broadcast(givens), full), "name string, given string, typed string, middle string, family string")
     return parsed.filter("family <> ''").withColumn("form", F.concat_ws("|", "given", "typed", "middle", "family"))
 
 
-def _bands(n_bands: int):
-    seeds = np.random.default_rng(97).integers(1, 1 << 63, n_bands * ROWS, dtype=np.uint64)
-
-    def mix(x: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            return x ^ (x >> np.uint64(29))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
-                family, initial = part.column("family").to_pylist(), part.column("initial").to_pylist()
-                padded = ["#" * (GRAM - 1) + f + "#" * (GRAM - 1) for f in family]
-                grams = [np.array([hash_gram(p[i : i + GRAM]) for i in range(len(p) - GRAM + 1)], np.uint64) for p in padded]
-                start = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]]).astype(int)
-                flat = np.concatenate(grams)
-                first = np.array([hash_gram(i) for i in initial], np.uint64)
-                keys = []
-                for band in range(n_bands):
-                    key = mix(first + np.uint64(band * 1_000_003))
-                    for r in range(ROWS):
-                        key = mix(key ^ np.minimum.reduceat(mix(flat ^ seeds[band * ROWS + r]), start))
-                    keys.append(key)
-                n = len(family)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(family * n_bands), pa.array(initial * n_bands)], names=["key", "family", "initial"])
-
-    return run
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(29))
+
+
+def _seeds(n: int) -> np.ndarray:
+    return _mix(_mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, name, sig) of a batch of (name, family): a row for each band of the family name."""
+    for b in batches:
+        for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
+            family = part.column("family").to_pylist()
+            name = part.column("name").to_numpy()
+            padded = ["#" * (GRAM - 1) + f + "#" * (GRAM - 1) for f in family]
+            size = np.array([len(p) - GRAM + 1 for p in padded])
+            flat = _mix(np.fromiter((hash_gram(p[i : i + GRAM]) for p in padded for i in range(len(p) - GRAM + 1)), np.uint64, int(size.sum())))
+            start = np.cumsum(size) - size
+            sig = np.bitwise_or.reduceat(np.uint64(1) << (flat % np.uint64(63)), start).view(np.int64)
+            sig[np.array([len(f) >= TWO_ERRORS for f in family])] |= np.int64(-(1 << 63))  # the sign tells long names
+            bands = np.array([bands_of_length(len(f)) for f in family])
+            order = np.argsort(-bands, kind="stable")  # names of many bands first, so that a band is a prefix of them
+            flat = np.concatenate([flat[start[i] : start[i] + size[i]] for i in order])
+            start, bands, name, sig = np.cumsum(size[order]) - size[order], bands[order], name[order], sig[order]
+            seeds, at = _seeds(int(bands.max()) * ROWS), 0
+            for band in range(int(bands.max())):
+                n = int((bands > band).sum())
+                end = int(start[n]) if n < len(start) else len(flat)
+                key = np.full(n, band, np.uint64)
+                for row in range(ROWS):
+                    key = _mix(key ^ np.minimum.reduceat(_mix(flat[:end] ^ seeds[at + row]), start[:n]))
+                at += ROWS
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[:n]), pa.array(sig[:n])], names=["key", "name", "sig"])
 
 
 def hash_gram(s: str) -> int:
@@ -180,79 +222,136 @@ def hash_gram(s: str) -> int:
     return int.from_bytes(s.encode("utf-16-le")[:8], "little")
 
 
-def _deletions(units: DataFrame) -> DataFrame:
-    """(key, family, initial) of names of up to ``SHORT`` letters, by the name and each name with one letter less: names
-    within one error, a swap among them, share one."""
+def _deletions(families: DataFrame) -> DataFrame:
+    """(key, name, sig) of names of up to ``SHORT`` letters, by the name and each name with one letter less: names within
+    one error, a swap among them, share one.  Their signature lets all pass."""
     less = F.transform(F.sequence(F.lit(1), F.length("family")), lambda i: F.concat(F.substring("family", F.lit(1), i - 1), F.substring(F.col("family"), i + 1, F.length("family"))))
     keys = F.explode(F.array_distinct(F.concat(F.array("family"), less))).alias("rest")
-    return units.filter(F.length("family").between(1, SHORT)).select(keys, "family", "initial").select(F.xxhash64("initial", "rest").alias("key"), "family", "initial")
+    return families.filter(F.length("family").between(1, SHORT)).select(keys, "name").select(F.xxhash64(F.lit("deletion"), "rest").alias("key"), "name", F.lit(0).cast("long").alias("sig"))
 
 
-def similar_families(units: DataFrame) -> DataFrame:
-    """(family_a, family_b, initial, s_family) of units (family, initial) that met in a band or by deletions and are within one error; equal ones too.
+def in_blocks(postings: DataFrame, key: str, member: str, block: int) -> DataFrame:
+    """``postings`` with ``unit`` and ``side``: two of a key are compared where they share a unit.
 
-    Pairs of at most ``SHORT`` letters are all found.  Names under five letters are only similar to names of five."""
-    n_bands = bands_for(LEAST_SIMILARITY, RECALL, ROWS)
+    A key with up to ``block`` postings is one unit.  More are dealt into blocks, and every two blocks are a unit of
+    their own, so no task compares more than ``block`` postings with as many; ``side`` tells the two blocks of a unit
+    apart (0 in a unit of one block).
+    """
+    crowded = materialize(postings.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > block), "crowded-keys")
+    blocks = F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(member), F.col("__blocks")).cast("int")
+    dealt = postings.join(crowded, key, "left").withColumn("__blocks", blocks).withColumn("__own", own)
+    units = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda other: F.struct(F.least(other, F.col("__own")).alias("lo"), F.greatest(other, F.col("__own")).alias("hi")))
+    split = dealt.withColumn("__u", F.explode(units))
+    unit = F.when(F.col("__blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, "__u.lo", "__u.hi"))
+    side = F.when(F.col("__u.lo") == F.col("__u.hi"), 0).when(F.col("__own") == F.col("__u.lo"), 1).otherwise(2)
+    return split.select(*postings.columns, unit.alias("unit"), side.cast("byte").alias("side"))
+
+
+def similar_families(names: DataFrame) -> DataFrame:
+    """(family_a, family_b, s_family) of the distinct values of ``names.family`` that are within the accepted errors, either
+    way round; equal ones too.
+
+    Pairs of at most ``SHORT`` letters are all found, longer ones with a probability of ``RECALL`` at least.  Names under
+    five letters are only similar to names of five; from ``TWO_ERRORS`` letters on two errors are accepted."""
+    families = names.select("family").filter("family <> ''").distinct().withColumn("name", F.xxhash64("family"))
+    families = materialize(families, "names-distinct-families")
     # Names shorter than SHORT differ by an error from names up to SHORT only, so they need no bands.
-    banded = units.filter(F.length("family") >= SHORT).mapInArrow(_bands(n_bands), "key long, family string, initial string")
-    p = banded.unionByName(_deletions(units)).repartition("key")
-    # The key holds the initial already; as a second join key it would only cause another exchange.
-    a, b = p.select("key", "initial", F.col("family").alias("family_a")), p.select("key", F.col("family").alias("family_b"))
+    banded = families.filter(F.length("family") >= SHORT).select("name", "family").mapInArrow(_postings, "key long, name long, sig long")
+    postings = materialize(banded.unionByName(_deletions(families)), "names-postings")
+    p = in_blocks(postings, "key", "name", BLOCK).select("unit", "side", "name", "sig")
+    a, b = p.select("unit", F.col("name").alias("a"), F.col("side").alias("x"), F.col("sig").alias("sa")), p.select("unit", F.col("name").alias("b"), F.col("side").alias("y"), F.col("sig").alias("sb"))
+    # Errors change so many grams of either name, and so at most twice as many bits of the signatures.
+    bits = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).bitwiseAND(F.lit((1 << 63) - 1)))
+    most = F.when(F.col("sa").bitwiseOR(F.col("sb")) < 0, 2 * changed_grams(TWO_ERRORS)).otherwise(2 * changed_grams(SHORT))
+    pair = ((F.col("x") == 0) & (F.col("a") < F.col("b"))) | ((F.col("x") == 1) & (F.col("y") == 2))
+    met = a.join(b, "unit").filter(pair & (bits <= most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    text = lambda x: families.select(F.col("name").alias(x), F.col("family").alias(f"family_{x}"))
+    both = met.join(text("a"), "a").join(text("b"), "b")
     d = F.levenshtein("family_a", "family_b")
     size = F.greatest(F.length("family_a"), F.length("family_b"))
-    met = a.join(b, "key").filter((F.col("family_a") < F.col("family_b")) & (F.abs(F.length("family_a") - F.length("family_b")) <= 1) & (d <= 2))
     letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     swapped = (d == 2) & (letters("family_a") == letters("family_b"))
-    close = met.filter((size >= 5) & ((d == 1) | swapped | ((d == 2) & (size >= 12)))).select("family_a", "family_b", "initial", (1 - F.when(swapped, 1).otherwise(d) / size).alias("s_family")).distinct()
-    same = units.select(F.col("family").alias("family_a"), F.col("family").alias("family_b"), "initial", F.lit(1.0).alias("s_family"))
-    other = close.select(F.col("family_b").alias("family_a"), F.col("family_a").alias("family_b"), "initial", "s_family")
+    near = both.filter((F.abs(F.length("family_a") - F.length("family_b")) <= 1) & (d <= 2) & (size >= LEAST_LETTERS))
+    close = near.filter((d == 1) | swapped | ((d == 2) & (size >= TWO_ERRORS))).select("family_a", "family_b", (1 - F.when(swapped, 1).otherwise(d) / size).alias("s_family"))
+    close = materialize(close, "names-close")
+    same = families.select(F.col("family").alias("family_a"), F.col("family").alias("family_b"), F.lit(1.0).alias("s_family"))
+    other = close.select(F.col("family_b").alias("family_a"), F.col("family_a").alias("family_b"), "s_family")
     return close.unionByName(other).unionByName(same)
 
 
-def _given_similarity(g: str, t: str, h: str, u: str) -> Column:
-    """Of two given names: equal 1, an initial 0.9, one error in a longer name 0.85, else 0."""
-    a, b = F.col(g), F.col(h)
-    initial = ((F.length(a) == 1) & ((a == F.substring(b, 1, 1)) | (a == F.col(u)))) | ((F.length(b) == 1) & ((b == F.substring(a, 1, 1)) | (b == F.col(t))))
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, F.when(F.length(a) == 1, 0.9).otherwise(1.0)).when(initial, 0.9).when((F.length(a) > 3) & (F.length(b) > 3) & (F.levenshtein(a, b) <= 1), 0.85).otherwise(0.0)
+def monge_elkan(similarity: Sequence[Sequence[Column]]) -> Column:
+    """Mean over the tokens of a name of the best match among those of the other, averaged over both directions;
+    ``similarity[i][j]`` is that of token i of the one and token j of the other."""
+
+    def one_way(rows: Sequence[Sequence[Column]]) -> Column:
+        best = [reduce(F.greatest, row) if len(row) > 1 else row[0] for row in rows]
+        return reduce(Column.__add__, best) / len(best)
+
+    return (one_way(similarity) + one_way(list(zip(*similarity)))) / 2
+
+
+def similar_givens(forms: DataFrame) -> DataFrame:
+    """(given_a, given_b, s_given) of full given names: equal 1, one error in names of more than three letters 0.85."""
+    g = forms.select("given").filter(F.length("given") > 1).distinct()
+    less = F.transform(F.sequence(F.lit(1), F.length("given")), lambda i: F.concat(F.substring("given", F.lit(1), i - 1), F.substring(F.col("given"), i + 1, F.length("given"))))
+    keys = g.filter(F.length("given") > 3).select("given", F.explode(F.array_distinct(F.concat(F.array("given"), less))).alias("rest"))
+    met = keys.withColumnRenamed("given", "given_a").join(keys.withColumnRenamed("given", "given_b"), "rest")
+    near = met.filter((F.col("given_a") != F.col("given_b")) & (F.levenshtein("given_a", "given_b") <= 1)).select("given_a", "given_b").distinct()
+    same = g.select(F.col("given").alias("given_a"), F.col("given").alias("given_b"), F.lit(1.0).alias("s_given"))
+    return near.withColumn("s_given", F.lit(0.85)).unionByName(same)
 
 
 def similar_forms(forms: DataFrame) -> DataFrame:
-    """(form_a, form_b, score) of verified forms, either way round and each with itself."""
-    f = forms.select("form", "given", "typed", "middle", "family").distinct()
-    by_initial = f.withColumn("initial", F.explode(F.array_distinct(F.array(F.substring("given", 1, 1), "typed")))).filter("initial <> ''")
-    f = materialize(by_initial, "names-forms")
-    pairs = materialize(similar_families(f.select("family", "initial").distinct()), "names-families")
-    a = f.select(*[F.col(c).alias(f"{c}_a") for c in ("form", "given", "typed", "middle", "family")], "initial")
-    b = f.select(*[F.col(c).alias(f"{c}_b") for c in ("form", "given", "typed", "middle", "family")], "initial")
-    both = pairs.join(a, ["family_a", "initial"]).join(b, ["family_b", "initial"])
-    s_given = _given_similarity("given_a", "typed_a", "given_b", "typed_b")
+    """(form_a, form_b, score) of verified forms, either way round and each with itself.
+
+    Full given names meet where they are similar too, initials meet all of their family and letter; full forms of a
+    family with different given names never meet.
+    """
+    f = materialize(forms.select("form", "given", "typed", "middle", "family").filter("given <> ''").distinct(), "names-forms")
+    families = materialize(similar_families(f), "names-families")
+    givens = materialize(similar_givens(f), "names-givens")
+    of = lambda df, x: df.select(*[F.col(c).alias(f"{c}_{x}") for c in ("form", "given", "middle", "family")])
+    full, short = f.filter(F.length("given") > 1), f.filter(F.length("given") == 1)
+    both_full = of(full, "a").join(givens, "given_a").join(families, "family_a").join(of(full, "b"), ["family_b", "given_b"])
+    lettered = f.withColumn("letter", F.explode(F.array_distinct(F.array(F.substring("given", 1, 1), "typed"))))
+    b = lettered.select(*[F.col(c).alias(f"{c}_b") for c in ("form", "given", "middle", "family")], F.col("letter").alias("given_a"))
+    initial = of(short, "a").join(families, "family_a").join(b, ["family_b", "given_a"]).withColumn("s_given", F.lit(0.9))
+    met = both_full.unionByName(initial)
+    cross = lambda x, y: F.when((F.col(x) == F.col(y)) & (F.length(x) > 1), 1.0).otherwise(0.0)
+    alike = monge_elkan([[F.col("s_given"), cross("given_a", "family_b")], [cross("family_a", "given_b"), F.col("s_family")]])
     ma, mb = F.substring("middle_a", 1, 1), F.substring("middle_b", 1, 1)
     agree = F.when((ma == "") | (mb == ""), 0.0).when(ma == mb, 0.02).otherwise(-1.0)
-    monge_elkan = (s_given + F.col("s_family")) / 2
-    scored = both.select("form_a", "form_b", F.when((s_given > 0) & (monge_elkan >= LEAST_MONGE_ELKAN) & (agree >= 0), monge_elkan + agree).alias("score"))
-    return scored.filter("score IS NOT NULL").groupBy("form_a", "form_b").agg(F.max("score").alias("score"))
+    scored = met.select("form_a", "form_b", F.length("given_b").alias("n_b"), F.col("s_given").alias("s"), F.when((alike >= LEAST_MONGE_ELKAN) & (agree >= 0), alike + agree).alias("score")).filter("score IS NOT NULL")
+    back = scored.filter((F.col("s") == 0.9) & (F.col("n_b") > 1)).select(F.col("form_b").alias("form_a"), F.col("form_a").alias("form_b"), "score")
+    return scored.select("form_a", "form_b", "score").unionByName(back).groupBy("form_a", "form_b").agg(F.max("score").alias("score"))
 
 
-def star_clusters(vertices: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+def star_clusters(vertices: DataFrame, edges: DataFrame, label: str, rounds: int = 12) -> DataFrame:
     """(id, center) of all ``vertices(id, rank)`` under symmetric ``edges(a, b, score)``.
 
     Round by round, open vertices that outrank all their open neighbours become centres and their open neighbours go
-    to the centre of highest score (then rank).  Equal ranks are settled by the smaller id; every round closes at
-    least the best open vertex of each component, in practice nearly all.
+    to the centre of highest score (then rank).  Equal ranks are settled by the smaller id.  Nearly all vertices close
+    in a few rounds; where a long chain of falling ranks is left after ``rounds``, ranks are replaced by a random order
+    fixed by the ids, under which what is left closes in a number of rounds that grows with its logarithm.
     """
-    key = F.struct("rank", F.col("id"))
-    ranked = materialize(vertices.select("id", key.alias("k")), label)
-    e = materialize(edges.join(ranked.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(ranked.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b"), label)
-    done = None
-    lone = ranked.join(e.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("center"))
+    ranked = materialize(vertices.select("id", F.struct("rank", F.col("id")).alias("k")), label)
+    of = lambda x: ranked.select(F.col("id").alias(x), F.col("k").alias(f"k{x}"))
+    e = materialize(edges.join(of("a"), "a").join(of("b"), "b"), label)
+    closed_parts, done = [], 0
     while not e.isEmpty():
-        best = e.groupBy("a").agg(F.max_by("ka", F.lit(1)).alias("ka"), F.min("kb").alias("least"))
-        centers = best.filter(F.col("ka") < F.col("least")).select(F.col("a").alias("center"))
-        joined = e.join(centers, e["b"] == centers["center"]).groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), F.col("kb"))).alias("center")).select(F.col("a").alias("id"), "center")
+        chance = done >= rounds
+        ka, kb = (F.struct(F.xxhash64("a"), F.col("a")), F.struct(F.xxhash64("b"), F.col("b"))) if chance else (F.col("ka"), F.col("kb"))
+        best = e.groupBy("a").agg(F.any_value(ka).alias("own"), F.min(kb).alias("least"))
+        centers = best.filter(F.col("own") < F.col("least")).select(F.col("a").alias("center"))
+        joined = e.join(centers, e["b"] == centers["center"]).groupBy("a").agg(F.min_by("b", F.struct(-F.col("score"), kb)).alias("center")).select(F.col("a").alias("id"), "center")
         closed = materialize(joined.unionByName(centers.select(F.col("center").alias("id"), "center")), label)
-        done = closed if done is None else done.unionByName(closed)
+        closed_parts.append(closed)
         gone = closed.select(F.col("id"))
-        rest = e.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-        lone = lone.unionByName(e.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").select("a").distinct().join(rest.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("id"), F.col("a").alias("center")))
-        e = materialize(rest, label)
-    return lone if done is None else lone.unionByName(done)
+        e = materialize(e.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"), label)
+        done += 1
+    if not closed_parts:
+        return ranked.select("id", F.col("id").alias("center"))
+    # A vertex that lost all its neighbours to other centres, or had none, stands alone.
+    closed = reduce(DataFrame.unionByName, closed_parts)
+    return ranked.select("id").join(closed, "id", "left").select("id", F.coalesce("center", "id").alias("center"))
