@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.blocks import bucket_pairs
 from lectern.storage import materialize
 
 # Common short forms of given names (the default of a parameter), and titles.
@@ -50,7 +51,7 @@ TITLES = frozenset("dr prof professor mr mrs ms miss sir dame".split())
 #: A word in at least this share of the distinct names is taken for a given name; so there are few of them at any size.
 GIVEN_RATE = 0.001
 #: Recall wanted of banding, rows of a band, letters of a q-gram.
-RECALL, ROWS, GRAM = 0.97, 4, 2
+RECALL, ROWS, GRAM = 0.985, 4, 2
 #: Letters up to which names are looked up by deletions, and from which two errors are accepted instead of one.
 SHORT, TWO_ERRORS = 8, 12
 #: Fewest letters of a name in which an error is accepted.
@@ -230,22 +231,10 @@ def _deletions(families: DataFrame) -> DataFrame:
     return families.filter(F.length("family").between(1, SHORT)).select(keys, "name").select(F.xxhash64(F.lit("deletion"), "rest").alias("key"), "name", F.lit(0).cast("long").alias("sig"))
 
 
-def in_blocks(postings: DataFrame, key: str, member: str, block: int) -> DataFrame:
-    """``postings`` with ``unit`` and ``side``: two of a key are compared where they share a unit.
-
-    A key with up to ``block`` postings is one unit.  More are dealt into blocks, and every two blocks are a unit of
-    their own, so no task compares more than ``block`` postings with as many; ``side`` tells the two blocks of a unit
-    apart (0 in a unit of one block).
-    """
-    crowded = materialize(postings.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > block), "crowded-keys")
-    blocks = F.coalesce(F.ceil(F.col("__n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64(member), F.col("__blocks")).cast("int")
-    dealt = postings.join(crowded, key, "left").withColumn("__blocks", blocks).withColumn("__own", own)
-    units = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda other: F.struct(F.least(other, F.col("__own")).alias("lo"), F.greatest(other, F.col("__own")).alias("hi")))
-    split = dealt.withColumn("__u", F.explode(units))
-    unit = F.when(F.col("__blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, "__u.lo", "__u.hi"))
-    side = F.when(F.col("__u.lo") == F.col("__u.hi"), 0).when(F.col("__own") == F.col("__u.lo"), 1).otherwise(2)
-    return split.select(*postings.columns, unit.alias("unit"), side.cast("byte").alias("side"))
+def _near_signatures(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Errors change so many grams of either name, and so at most twice as many bits of the signatures."""
+    bits = np.bitwise_count((x["sig"] ^ y["sig"]) & np.int64((1 << 63) - 1))
+    return bits <= np.where((x["sig"] | y["sig"]) < 0, 2 * changed_grams(TWO_ERRORS), 2 * changed_grams(SHORT))
 
 
 def similar_families(names: DataFrame) -> DataFrame:
@@ -255,17 +244,11 @@ def similar_families(names: DataFrame) -> DataFrame:
     Pairs of at most ``SHORT`` letters are all found, longer ones with a probability of ``RECALL`` at least.  Names under
     five letters are only similar to names of five; from ``TWO_ERRORS`` letters on two errors are accepted."""
     families = names.select("family").filter("family <> ''").distinct().withColumn("name", F.xxhash64("family"))
-    families = materialize(families, "names-distinct-families")
+    # In many parts, because a name has dozens of postings.
+    families = materialize(families.repartition("name"), "names-distinct-families")
     # Names shorter than SHORT differ by an error from names up to SHORT only, so they need no bands.
     banded = families.filter(F.length("family") >= SHORT).select("name", "family").mapInArrow(_postings, "key long, name long, sig long")
-    postings = materialize(banded.unionByName(_deletions(families)), "names-postings")
-    p = in_blocks(postings, "key", "name", BLOCK).select("unit", "side", "name", "sig")
-    a, b = p.select("unit", F.col("name").alias("a"), F.col("side").alias("x"), F.col("sig").alias("sa")), p.select("unit", F.col("name").alias("b"), F.col("side").alias("y"), F.col("sig").alias("sb"))
-    # Errors change so many grams of either name, and so at most twice as many bits of the signatures.
-    bits = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")).bitwiseAND(F.lit((1 << 63) - 1)))
-    most = F.when(F.col("sa").bitwiseOR(F.col("sb")) < 0, 2 * changed_grams(TWO_ERRORS)).otherwise(2 * changed_grams(SHORT))
-    pair = ((F.col("x") == 0) & (F.col("a") < F.col("b"))) | ((F.col("x") == 1) & (F.col("y") == 2))
-    met = a.join(b, "unit").filter(pair & (bits <= most)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = bucket_pairs(banded.unionByName(_deletions(families)), "key", "name", BLOCK, _near_signatures, "names").distinct()
     text = lambda x: families.select(F.col("name").alias(x), F.col("family").alias(f"family_{x}"))
     both = met.join(text("a"), "a").join(text("b"), "b")
     d = F.levenshtein("family_a", "family_b")

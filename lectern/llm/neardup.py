@@ -9,29 +9,33 @@ Hamming bound.  The join runs in four steps.
    (|a|+|b|)`` tokens must be left from it in either set.
 3. Each posting carries a small ring of bit segments, the parities of its set's hashed tokens.  Bit differences of a
    segment never exceed the true differences there.  By the pigeonring principle a pair within ``tau`` has a segment
-   from which every chain of consecutive segments of length l (up to the whole ring) has at most ``l * tau / m``
-   differences; pairs without such a chain are dropped before anything is looked up.
+   from which every chain of l consecutive segments has at most ``l * tau / m`` differences.  Chains of one and two
+   segments and the whole ring are tested; pairs that fail are dropped before anything is looked up.
 4. What is left gets the full Hamming check on the token sets.
 
 Sets that are equal are one class with one posting per token, however many records have it.  A record never meets
 more than the classes that share its rare tokens; no pairs within a bucket are listed before the ring has passed them.
+Where very many classes share a token of their prefixes, the bucket is split into pairs of blocks.  A class is told by
+two independent 64-bit hashes of its set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.blocks import bucket_pairs
 from lectern.llm.graph import connected_components
 from lectern.storage import materialize
 
 #: Cells in which token frequencies are counted: 65,536 numbers reach the driver and the workers, at every size.
 CELLS = 1 << 16
+#: Classes of a bucket that one task compares with each other or with as many others.
+BLOCK = 5000
 _TAG = r"</?[A-Za-z][^<>]*>"
 
 
@@ -63,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _postings(counts, threshold: float, words: int, banded: bool):
-    names = ["key", "h", "n", "at", "second", *[f"s{i}" for i in range(words)]]
+    names = ["key", "h", "place", *[f"s{i}" for i in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = counts.value
@@ -94,36 +98,54 @@ def _postings(counts, threshold: float, words: int, banded: bool):
                 with np.errstate(over="ignore"):
                     key = _mix(token ^ _mix(bands + np.uint64(second) + np.uint64(1))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(h), pa.array(size[r].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(r), second, np.int32)), *[pa.array(s.view(np.int64)[r]) for s in sketch]], names=names)
+                    [pa.array(key), pa.array(h), pa.array(_packed(size[r], at, second)), *[pa.array(s.view(np.int64)[r]) for s in sketch]], names=names)
 
-    return run, "key long, h long, n int, at int, second int, " + ", ".join(f"s{i} long" for i in range(words))
+    return run, "key long, h long, place long, " + ", ".join(f"s{i} long" for i in range(words))
 
 
-def ring_condition(a: list[Column], b: list[Column], tau: Column, parts: int, chains: tuple[int, ...] = (1, 2)) -> Column:
+def _packed(size: np.ndarray, at: np.ndarray, second: int) -> np.ndarray:
+    """Size of a set, place of the token in it, and whether it stands for the band before, in one number."""
+    return (size.astype(np.int64) << np.int64(32)) | (at.astype(np.int64) << np.int64(1)) | np.int64(second)
+
+
+def ring_condition(a: Sequence[np.ndarray], b: Sequence[np.ndarray], tau: np.ndarray, parts: int, chains: tuple[int, ...] = (1, 2)) -> np.ndarray:
     """Some segment starts chains of these lengths that differ in at most l * tau / m bits, and so does the whole ring.
 
-    ``a`` and ``b`` are the 64-bit words of both rings; each word is ``parts`` segments, m in all.  The short chains
-    are tried first because they decide nearly all pairs on a few bit counts; chains of every length at once would
-    make a method too long for the JVM to compile.
+    ``a`` and ``b`` are the 64-bit words of both rings; each word is ``parts`` segments, m in all.
     """
     width = 64 // parts
-    mask = F.lit((1 << width) - 1).cast("long")
-    d = [F.bit_count(F.shiftrightunsigned(x.bitwiseXOR(y), p * width).bitwiseAND(mask) if parts > 1 else x.bitwiseXOR(y)) for x, y in zip(a, b) for p in range(parts)]
-    m, starts = len(d), None
+    mask = np.uint64((1 << width) - 1) if width < 64 else np.uint64(0xFFFFFFFFFFFFFFFF)
+    differ = [np.bitwise_count((np.bitwise_xor(x, y).view(np.uint64) >> np.uint64(p * width)) & mask).astype(np.int64) for x, y in zip(a, b) for p in range(parts)]
+    m = len(differ)
+    starts = np.zeros(len(tau), bool)
     for i in range(m):
-        chain = None
+        chain = np.ones(len(tau), bool)
         for length in chains:
-            within = reduce(Column.__add__, [d[(i + j) % m] for j in range(length)]) * m <= tau * length
-            chain = within if chain is None else chain & within
-        starts = chain if starts is None else starts | chain
-    return starts & (reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]) <= tau)
+            chain &= sum(differ[(i + j) % m] for j in range(length)) * m <= tau * length
+        starts |= chain
+    return starts & (sum(differ) <= tau)
+
+
+def _near(threshold: float, words: int):
+    """Whether two postings can be the first common token of sets that are similar enough, by sizes, place and ring."""
+    share, distance, parts = threshold / (1 + threshold), (1 - threshold) / (1 + threshold), 4 if words == 1 else 2
+
+    def keep(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        (n, at, second), (m, to, other) = ((p >> 32, (p >> 1) & 0x7FFFFFFF, p & 1) for p in (x["place"], y["place"]))
+        ok = (np.minimum(n - at, m - to) >= np.ceil((n + m) * share - 1e-9)) & (second + other < 2)
+        some = np.flatnonzero(ok)
+        tau = np.floor((n + m)[some] * distance + 1e-9)
+        rings = ([v[f"s{i}"][some] for i in range(words)] for v in (x, y))
+        ok[some] = ring_condition(*rings, tau, parts)
+        return ok
+
+    return keep
 
 
 def class_postings(records: DataFrame, counts: np.ndarray, threshold: float, words: int, banded: bool) -> DataFrame:
-    """Postings by ``key``, one per class (``h``, ``band``) and prefix token, however many records the class has."""
+    """Postings by ``key``, one per class (``h``, ``band``) and prefix token of each batch of records."""
     run, schema = _postings(records.sparkSession.sparkContext.broadcast(counts), threshold, words, banded)
-    # The key holds token and band; partitioned by it, copies meet without another exchange.
-    return records.select("h", "band", "tokens").mapInArrow(run, schema).repartition("key").dropDuplicates(["key", "h", "second"])
+    return records.select("h", "band", "tokens").mapInArrow(run, schema)
 
 
 def similar_classes(records: DataFrame, threshold: float, label: str, words: int, band_width: int | None = None) -> DataFrame:
@@ -140,16 +162,8 @@ def similar_classes(records: DataFrame, threshold: float, label: str, words: int
     counts = np.zeros(CELLS, np.int64)
     counts[cells["cell"].to_numpy(int)] = cells["n"].to_numpy(np.int64)
     p = class_postings(records, counts, threshold, words, band_width is not None)
-    a = p.select("key", *[F.col(c).alias(f"a_{c}") for c in p.columns if c != "key"])
-    b = p.select("key", *[F.col(c).alias(f"b_{c}") for c in p.columns if c != "key"])
-    share = threshold / (1 + threshold)
-    both = F.col("a_n") + F.col("b_n")
-    needed = F.ceil(both * F.lit(share) - F.lit(1e-9))
-    tau = F.floor(both * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-9))
-    meets = (F.col("a_h") < F.col("b_h")) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= needed) & (F.col("a_second") + F.col("b_second") < 2)
-    ring = ring_condition([F.col(f"a_s{i}") for i in range(words)], [F.col(f"b_s{i}") for i in range(words)], tau, 4 if words == 1 else 2)
-    near = a.join(b, "key").filter(meets & ring).select("a_h", "b_h").distinct()
-    near = materialize(near, f"{label}-candidates")
+    near = bucket_pairs(p, "key", "h", BLOCK, _near(threshold, words), label).select(F.col("a").alias("a_h"), F.col("b").alias("b_h"))
+    near = materialize(near.distinct(), f"{label}-candidates")
     wanted = near.select(F.col("a_h").alias("h")).union(near.select("b_h")).distinct()
     sets = materialize(records.select("h", "tokens").join(wanted, "h", "left_semi").groupBy("h").agg(F.any_value("tokens").alias("tokens")), f"{label}-sets")
     full = near.join(sets.select(F.col("h").alias("a_h"), F.col("tokens").alias("ta")), "a_h").join(sets.select(F.col("h").alias("b_h"), F.col("tokens").alias("tb")), "b_h")
@@ -157,6 +171,15 @@ def similar_classes(records: DataFrame, threshold: float, label: str, words: int
     return full.filter(common / (F.size("ta") + F.size("tb") - common) >= F.lit(threshold)).select(F.col("a_h").alias("h_a"), F.col("b_h").alias("h_b"))
 
 
+def told_apart(records: DataFrame, label: str) -> DataFrame:
+    """``records`` with another ``h`` for sets that share ``h`` but not the second hash ``h2`` with some other set.
+
+    Hashes of 64 bits do collide among billions of sets; two independent ones don't.  Few sets do, so few are joined."""
+    clash = records.groupBy("h").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi").select("h", F.lit(True).alias("clash"))
+    marked = records.join(materialize(clash, f"{label}-clashes"), "h", "left")
+    return marked.withColumn("h", F.when(F.col("clash"), F.xxhash64("h", "h2")).otherwise(F.col("h"))).select("id", "tokens", "band", "h")
+
+
 def near_duplicate_classes(df: DataFrame, key: str, tokens: Column, threshold: float, label: str, words: int, band: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): ``node, id`` of all records with tokens, and ``node_a, node_b`` of similar nodes.
 
@@ -165,10 +188,11 @@ def near_duplicate_classes(df: DataFrame, key: str, tokens: Column, threshold: f
     records with a null band are left out.
     """
     cut = df.select(F.col(key).alias("id"), tokens.alias("tokens"), (F.lit(0) if band is None else band).cast("long").alias("band"))
-    records = cut.filter("id IS NOT NULL AND band IS NOT NULL AND size(tokens) > 0").withColumn("h", F.xxhash64(F.array_sort("tokens")))
-    records = materialize(records, f"{label}-records")  # four steps read the token sets
+    ordered = F.array_sort("tokens")
+    records = cut.filter("id IS NOT NULL AND band IS NOT NULL AND size(tokens) > 0").withColumns({"h": F.xxhash64(ordered), "h2": F.xxhash64(F.lit(1), ordered)})
+    records = told_apart(materialize(records, f"{label}-records"), label)  # four steps read the token sets
     pairs = similar_classes(records, threshold, label, words, None if band is None else 1)
-    node = F.xxhash64("h", "band")
+    node = F.col("h") if band is None else F.xxhash64("h", "band")
     members = records.select(node.alias("node"), "id").distinct()
     nodes = materialize(records.select("h", "band", node.alias("node")).distinct(), f"{label}-nodes")
     a, b = (nodes.select(F.col("h").alias(f"h_{x}"), F.col("band").alias(f"band_{x}"), F.col("node").alias(f"node_{x}")) for x in "ab")

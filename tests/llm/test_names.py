@@ -94,15 +94,6 @@ def test_a_long_chain_of_falling_ranks_ends_soon(spark):
     assert len(got) == n and all(got[c] == c for c in got.values()) and all(abs(int(i[1:]) - int(c[1:])) <= 1 for i, c in got.items())
 
 
-def test_a_crowded_bucket_is_split_and_loses_nothing(spark, monkeypatch):
-    p = spark.range(200).select(F.when(F.col("id") < 150, 1).otherwise(F.col("id")).alias("key"), F.xxhash64("id").alias("name"), F.col("id").alias("i"))
-    split = N.in_blocks(p, "key", "name", 20)
-    a, b = split.select("unit", F.col("side").alias("x"), F.col("i").alias("a")), split.select("unit", F.col("side").alias("y"), F.col("i").alias("b"))
-    met = a.join(b, "unit").filter("(x = 0 AND a < b) OR (x = 1 AND y = 2)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).collect()
-    assert sorted(map(tuple, met)) == [(i, j) for i in range(150) for j in range(i + 1, 150)]
-    assert max(r["n"] for r in split.groupBy("unit").agg(F.count("*").alias("n")).collect()) < 80
-
-
 def test_nicknames_are_a_parameter_and_errors_in_the_initial_are_met(spark):
     rows = spark.createDataFrame([("Xandru Kabelimo",), ("Xan Kabelimo",), ("Heila Rokotanev",), ("Leila Rokotanev",)], "name string")
     for table, linked in (({"xandru": "xan"}, True), ({}, False)):

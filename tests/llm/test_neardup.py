@@ -3,8 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from lectern.llm import neardup
 from lectern.llm.graph import connected_components
-from lectern.llm.neardup import CELLS, class_postings, distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs, ring_condition
+from lectern.llm.neardup import CELLS, class_postings, told_apart, distinct_shingles, distinct_words, near_duplicate_groups, near_duplicate_pairs, ring_condition
 
 
 def words(rnd, n, vocabulary=60):
@@ -74,7 +75,7 @@ def test_shingles_copies_and_a_very_long_text(spark):
     assert near_duplicate_pairs(df.filter(F.lit(False)), "id", distinct_words("t"), 0.6, "t", 1).count() == 0
 
 
-def test_the_ring_never_drops_a_pair_within_the_bound(spark):
+def test_the_ring_never_drops_a_pair_within_the_bound():
     rng = np.random.default_rng(1)
     rows = []
     for _ in range(400):
@@ -83,10 +84,12 @@ def test_the_ring_never_drops_a_pair_within_the_bound(spark):
         for bit in rng.integers(0, 192, rng.integers(0, 60)):
             b[bit // 64] ^= np.int64(np.uint64(1) << np.uint64(bit % 64))
         rows.append([int(x) for x in (*a, *b)] + [int(sum(int(x ^ y) & (2**64 - 1) != 0 and bin(int(x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b)))])
-    df = spark.createDataFrame(rows, "a0 long, a1 long, a2 long, b0 long, b1 long, b2 long, d int")
+    words = np.array([r[:6] for r in rows], np.int64)
+    d = np.array([r[6] for r in rows])
     for tau in (5, 20, 40):
-        kept = ring_condition([F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)], F.lit(tau), 2)
-        assert df.filter((F.col("d") <= tau) & ~kept).count() == 0 and df.filter((F.col("d") > tau) & kept).count() == 0
+        for parts in (1, 2, 4):
+            kept = ring_condition(words.T[:3], words.T[3:], np.full(len(rows), tau), parts)
+            assert kept[d <= tau].all() and not kept[d > tau].any()
 
 
 def test_components_against_union_find(spark):
@@ -110,5 +113,21 @@ def test_components_against_union_find(spark):
 def test_copies_have_the_postings_of_one(spark):
     rows = [(i, "many words that are the same here", 2003 + i % 2) for i in range(600)] + [(900 + i, "many words that are the same there", 2003) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, t string, band long").withColumn("tokens", distinct_words("t")).withColumn("h", F.xxhash64(F.array_sort("tokens")))
-    got = [class_postings(x.select("h", "band", "tokens"), np.zeros(CELLS, np.int64), 0.7, 1, True) for x in (df.repartition(7), df.dropDuplicates(["h", "band"]))]
-    assert got[0].count() == got[1].count() == 3 * 2 * 3 and sorted(got[0].collect()) == sorted(got[1].collect())
+    got = [set(map(tuple, class_postings(x.select("h", "band", "tokens"), np.zeros(CELLS, np.int64), 0.7, 1, True).collect())) for x in (df.repartition(7), df.dropDuplicates(["h", "band"]))]
+    assert len(got[0]) == 3 * 2 * 3 and got[0] == got[1]
+    assert class_postings(df.repartition(7).select("h", "band", "tokens"), np.zeros(CELLS, np.int64), 0.7, 1, True).count() <= 7 * 18
+
+
+def test_crowded_buckets_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    for threshold, n_words, banded in ((0.7, 1, True), (0.6, 3, False)):
+        rows = [r for r in sample(21) if banded or r[2] is not None]
+        df = spark.createDataFrame(rows, "id long, t string, y int").repartition(3)
+        got = near_duplicate_pairs(df, "id", distinct_words("t"), threshold, "t", n_words, F.col("y") if banded else None)
+        assert {(r.id_a, r.id_b) for r in got.collect()} == brute(rows, threshold, banded)
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    rows = [(1, [5, 6], 0, 77, 1), (2, [5, 6], 0, 77, 1), (3, [8], 0, 77, 2), (4, [9], 0, 78, 3)]
+    got = {r.id: r.h for r in told_apart(spark.createDataFrame(rows, "id long, tokens array<long>, band long, h long, h2 long"), "t").collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 78 and len(set(got.values())) == 3
