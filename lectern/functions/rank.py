@@ -47,13 +47,52 @@ def midrank(df: DataFrame, strata: Sequence[str], value: str, name: str = "perce
 
 
 def with_midrank(df: DataFrame, strata: Sequence[str], value: str, name: str = "percentile") -> DataFrame:
-    """``df`` with the percentile of its value in its stratum; null where it has no value."""
+    """``df`` with the percentile of its value in its stratum; null where it has no value.
+
+    Rows without a value aren't joined.  The join is a plain one, so a value that very many rows share is split by the
+    engine where it is skewed.
+    """
     table = midrank(df, strata, value, name).drop("stratum_size")
     renamed = table.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*strata, value])], name)
-    on = F.lit(True)
-    for i, c in enumerate([*strata, value]):
-        on = on & df[c].eqNullSafe(renamed[f"__k{i}"])
-    return df.join(renamed, on, "left").select(df["*"], name)
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    have, lack = df.filter(known), df.filter(~F.coalesce(known, F.lit(False)))
+    on = have[value] == renamed[f"__k{len(strata)}"]
+    for i, c in enumerate(strata):
+        on = on & have[c].eqNullSafe(renamed[f"__k{i}"])
+    ranked = have.join(renamed, on, "left").select(have["*"], name)
+    return ranked.unionByName(lack.withColumn(name, F.lit(None).cast("double")))
+
+
+def cascading_midrank(df: DataFrame, levels: Sequence[tuple[str, Sequence[str]]], value: str, least: int) -> DataFrame:
+    """``df`` with ``stratum`` (the name of a level) and ``percentile`` of its value there.
+
+    A row's stratum is the first level whose columns it all has and whose group has at least ``least`` values; the last
+    level must have no columns and takes the rest.  All members of a group count in it, whatever their own stratum is.
+    Counts of values at all levels are made in one aggregation, and each row is joined to one of them only.
+    """
+    if not levels or levels[-1][1]:
+        raise ValueError("the last level must have no columns")
+    keyed = df
+    for name, columns in levels:
+        there = F.lit(True)
+        for c in columns:
+            there = there & F.col(c).isNotNull()
+        keyed = keyed.withColumn(f"__key_{name}", F.when(there, F.to_json(F.struct(F.lit(name).alias("level"), *columns))))
+    members = keyed.select(F.explode(F.array(*[F.col(f"__key_{name}") for name, _ in levels])).alias("__stratum"), F.col(value).alias("__value")).filter("__stratum IS NOT NULL")
+    table = materialize(midrank(members, ["__stratum"], "__value"), "cascade")
+    sizes = table.groupBy("__stratum").agg(F.max("stratum_size").alias("__size"))
+    chosen, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, columns in reversed(levels):
+        if columns:
+            keyed = keyed.join(sizes.select(F.col("__stratum").alias(f"__key_{name}"), F.col("__size").alias(f"__size_{name}")), f"__key_{name}", "left")
+        enough = F.coalesce(F.col(f"__size_{name}"), F.lit(0)) >= least if columns else F.lit(True)
+        chosen, key = F.when(enough, name).otherwise(chosen), F.when(enough, F.col(f"__key_{name}")).otherwise(key)
+    placed = keyed.select(*df.columns, chosen.alias("stratum"), key.alias("__stratum"))
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    have, lack = placed.filter(known), placed.filter(~F.coalesce(known, F.lit(False)))
+    percentiles = table.select(F.col("__stratum").alias("__s"), F.col("__value").alias("__of"), "percentile")
+    ranked = have.join(percentiles, (F.col("__stratum") == F.col("__s")) & (F.col(value) == F.col("__of")), "left")
+    return ranked.select(*df.columns, "stratum", "percentile").unionByName(lack.select(*df.columns, "stratum", F.lit(None).cast("double").alias("percentile")))
 
 
 def with_previous(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

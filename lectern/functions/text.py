@@ -18,7 +18,13 @@ SENTENCE = r"[.!?]+(?:[\"'”’)}\]]+)?(?=\s|$)"
 TAG = r"</?[A-Za-z][\w:.\-]*(?:\s[^<>]*)?>"
 TEX_MATH = r"\$[^$]*\\[^$]*\$"
 TEX_COMMAND = r"\\[A-Za-z]+"
-SECRETS = (r"sk-[A-Za-z0-9]{16,}", r"(?i)api[_-]?key\s*[:=]\s*\S+", r"(?i)bearer\s+[A-Za-z0-9._\-]{16,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+# Fixed patterns of secret-like values: an assignment to a telling name, two forms of service keys, a private key.
+SECRETS = (
+    r"(?i)(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_./+=-]{6,}",
+    r"\bsk-[A-Za-z0-9_-]{16,}\b",
+    r"\bAKIA[0-9A-Z]{16}\b",
+    r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+)
 
 
 def _accents() -> tuple[str, str]:

@@ -51,4 +51,6 @@ def cursor_chain(pages: DataFrame, cursor: str, next_cursor: str, most_rounds: i
         links = materialize(joined.select("at", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")), "chain")
         if not links.filter("at = up").isEmpty():
             raise ValueError("the pages' cursors form a cycle")
+    else:
+        raise RuntimeError("the chain of pages did not end")
     return links.filter("up = '*'").select(F.col("at").alias("cursor"), "steps").unionByName(pages.filter(F.col(cursor) == "*").select(F.col(cursor).alias("cursor"), F.lit(0).cast("long").alias("steps")).distinct())

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.storage import materialize
 
+#: Names that are sought in one pass over the texts.
+NAMES_AT_ONCE = 500_000
 ERROR = "check_name string, entity string, detail string"
 
 
@@ -59,27 +66,51 @@ def unreferenced(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     return x.join(y, list(key), "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-def containing_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, most_words: int = 4, least_letters: int = 4) -> DataFrame:
-    """(key, name) of texts that contain a name as a run of whole words, case and punctuation aside.
+def searched_form(text: str) -> str:
+    """NFKC, casefolded, a single blank for whatever stands between letters and digits."""
+    return re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", text).casefold()).strip()
 
-    An equality join on hashed word runs of up to ``most_words`` words, so neither side has to be small and no text is
-    held against every name.  A name of more words is looked up by its first ``most_words`` and then sought as a whole
-    in the texts that have these.  Names of fewer letters than the bound aren't looked for; texts without words match
-    nothing.
+
+_searched = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else searched_form(t)), T.StringType())
+
+
+def _scan(names: Broadcast, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n in names.value:
+            automaton.add_word(n, n)
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for i, t in enumerate(b.column("__text").to_pylist()):
+                met = {n for _, n in automaton.iter(searched_form(t))} if t else ()
+                rows += [i] * len(met)
+                found += met
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=[key, "searched"])
+
+    return run
+
+
+def containing_names(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, least_letters: int = 4) -> DataFrame:
+    """(key, name) of texts that contain a name anywhere, glued to other letters or not, in the form of ``searched_form``.
+
+    The texts are scanned for up to NAMES_AT_ONCE names in one pass (an automaton that finds all of them together), and
+    once more for every further so many names; no text is shuffled or held against single names.  Names of fewer
+    characters than the bound aren't looked for; null texts and names match nothing.
     """
-    def ws(c: str) -> Column:
-        return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-    wanted = names.select(F.col(name).alias("name"), ws(name).alias("w")).filter((F.size("w") >= 1) & (F.length(F.array_join("w", " ")) >= least_letters))
-    wanted = wanted.select("name", F.array_join(F.slice("w", 1, most_words), " ").alias("run")).distinct()
-    t = texts.select(F.col(key).alias("of"), ws(text).alias("w"))
-
-    def runs(n: int) -> Column:
-        return F.transform(F.slice("w", 1, F.greatest(F.size("w") - n + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, n)]))
-
-    grams = t.select("of", F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))).alias("run"))
-    met = materialize(grams.join(wanted, "run").select("of", "name").distinct(), "names-met").withColumn("name_words", ws("name"))
-    whole = F.size("name_words") <= most_words
-    longer = met.filter(~whole).withColumnRenamed("of", "met_of").join(t, F.col("met_of").eqNullSafe(F.col("of")))
-    in_text = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("name_words", " "), F.lit(" ")))
-    return met.filter(whole).select("of", "name").unionByName(longer.filter(in_text).select("of", "name")).select(F.col("of").alias(key), "name").distinct()
+    spark = texts.sparkSession
+    wanted = names.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct().withColumn("searched", _searched("name"))
+    wanted = materialize(wanted.filter(F.length("searched") >= least_letters), "names-searched")
+    parts = -(-wanted.count() // NAMES_AT_ONCE)
+    t = texts.select(F.col(key).alias("__of"), F.col(text).alias("__text"))
+    schema = f"__of {texts.schema[key].dataType.simpleString()}, searched string"
+    met = [t.sparkSession.createDataFrame([], schema)]
+    for part in range(parts):
+        own = wanted.filter(F.pmod(F.xxhash64("searched"), F.lit(parts)) == part).select("searched").distinct()
+        found = [r[0] for r in own.collect()]  # about NAMES_AT_ONCE
+        if found:
+            met.append(t.mapInArrow(_scan(spark.sparkContext.broadcast(found), "__of"), schema))
+    hits = reduce(DataFrame.unionByName, met)
+    return hits.join(wanted, "searched").select(F.col("__of").alias(key), "name").distinct()

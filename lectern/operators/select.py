@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,31 +85,46 @@ def margin_sample(candidates: DataFrame, targets: dict[tuple[str, str], int], ke
     """Greedy sample of ``size`` records that brings the counts of (dimension, category) close to ``targets``.
 
     Each step adds the record that lowers most: sum |count - target| / max(target, 1), plus .05 and .02 for each
-    further record of the same first and second place.  A record's cost depends only on its categories and places, so
-    candidates are counted by those first and a step is one small aggregation; ties go to the smallest seeded hash.
+    further record of the same first and second place; ties go to the smallest seeded hash.
+
+    A record's cost depends only on its categories and places, so few records can ever be chosen: of each combination of
+    categories and second place, the first record of each of the ``size + 1`` first places met first by hash (at most
+    ``size`` of them can have been used), and the ``size`` records of smallest hash.  They are picked out in two
+    rankings, however large ``size`` is, and the steps are then made over them on the driver: at most ``2 * size + 1``
+    rows for each combination.
     """
     dims = sorted({dim for dim, _ in targets})
+    first, second = places
     rank = F.sha2(F.concat_ws("\x00", F.lit(str(seed)), key), 256)
-    pool = materialize(candidates.select(key, *dims, *places, rank.alias("__r")), "margin-pool")
-    spark, counts, seen, chosen = candidates.sparkSession, {k: 0 for k in targets}, [{}, {}], []
-    for _ in range(size):
-        cost = F.lit(0.0)
+    names = [f"d{i}" for i in range(len(dims))]
+    pool = candidates.select(F.col(key).alias("k"), *[F.col(c).alias(n) for c, n in zip(dims, names)], F.col(first).alias("p0"), F.col(second).alias("p1"), rank.alias("r"))
+    pool = materialize(pool.filter("k IS NOT NULL"), "margin-pool")
+    cell, row = [*names, "p1"], F.struct("r", "k")
+    by_place = pool.groupBy(*cell, "p0").agg(F.min(row).alias("x")).select(*cell, "p0", "x.r", "x.k")
+    one_each = first_rows(by_place, cell, [F.col("r"), F.col("k")], size + 1).select("k", *names, "p0", "p1", "r")
+    lowest = first_rows(pool, cell, [F.col("r"), F.col("k")], size).select("k", *names, "p0", "p1", "r")
+    rows = sorted(one_each.unionByName(lowest).distinct().collect(), key=lambda x: (x["r"], x["k"]))
+    numbers = {target: i for i, target in enumerate(targets)}
+    codes = np.array([[numbers.get((d, x[n]), -1) for d, n in zip(dims, names)] for x in rows], dtype=np.int64).reshape(len(rows), len(dims))
+    place_codes = [{p: i for i, p in enumerate(sorted({x[c] for x in rows if x[c] is not None}))} for c in ("p0", "p1")]
+    at = np.array([[-1 if x[c] is None else place_codes[i][x[c]] for i, c in enumerate(("p0", "p1"))] for x in rows], dtype=np.int64).reshape(len(rows), 2)
+    seen = [np.zeros(len(p) + 1, bool) for p in place_codes]  # the last entry stands for no place and is never seen
+    counts, left, chosen = dict.fromkeys(targets, 0), np.ones(len(rows), bool), []
+    while len(chosen) < size and left.any():
+        cost = np.zeros(len(rows))
         for (dim, cat), target in targets.items():
-            now = abs(counts[dim, cat] - target) / max(target, 1)
-            then = abs(counts[dim, cat] + 1 - target) / max(target, 1)
-            cost = cost + F.when(F.col(dim) == cat, then - now).otherwise(0.0)
-        for place, weight, already in zip(places, (0.05, 0.02), seen):
-            if already:
-                cost = cost + F.when(F.col(place).isin(*already), weight).otherwise(0.0)
-        left = pool.filter(~F.col(key).isin(*chosen)) if chosen else pool
-        row = left.agg(F.min(F.struct(F.round(cost, 12).alias("c"), "__r", key, *dims, *places)).alias("x")).first()["x"]
-        if row is None:
-            break
-        chosen.append(row[key])
-        for dim in dims:
-            if (dim, row[dim]) in counts:
-                counts[dim, row[dim]] += 1
-        for place, already in zip(places, seen):
-            if row[place] is not None:
-                already[row[place]] = already.get(row[place], 0) + 1
+            change = (abs(counts[dim, cat] + 1 - target) - abs(counts[dim, cat] - target)) / max(target, 1)
+            cost += np.where(codes[:, dims.index(dim)] == numbers[dim, cat], change, 0.0)
+        for i, weight in enumerate((0.05, 0.02)):
+            cost += np.where(seen[i][at[:, i]], weight, 0.0)
+        best = int(np.argmin(np.where(left, np.round(cost, 12), np.inf)))  # rows are in order of hash
+        left[best] = False
+        chosen.append(rows[best]["k"])
+        for dim, n in zip(dims, names):
+            if (dim, rows[best][n]) in counts:
+                counts[dim, rows[best][n]] += 1
+        for i in range(2):
+            if at[best, i] >= 0:
+                seen[i][at[best, i]] = True
+    spark = candidates.sparkSession
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(chosen)], f"{key} {candidates.schema[key].dataType.simpleString()}, selection_order int")

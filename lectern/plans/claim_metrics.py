@@ -62,10 +62,35 @@ def evaluator_by_condition(spark, d):
 
 
 def field_by_condition_pivot(spark, d):
-    c = claims(spark, d)
+    """Severe and factual claims by field, a pair of columns for every condition there is."""
+    c = claims(spark, d).filter("condition IS NOT NULL")
     c = c.withColumn("condition", F.regexp_replace("condition", "[^A-Za-z0-9]", "_"))
-    names = [f"batch_{x}" for x in "abcd"]  # known beforehand, so no pass is needed to find them
-    return c.groupBy("field").pivot("condition", names).agg(F.count_if(is_severe("label_1")).alias("severe"), F.count_if(is_factual("label_1")).alias("factual")).fillna(0)
+    return c.groupBy("field").pivot("condition").agg(F.count_if(is_severe("label_1")).alias("severe"), F.count_if(is_factual("label_1")).alias("factual")).fillna(0)
+
+
+def _labelled(spark, d) -> DataFrame:
+    """Labels of claim_labels with the claim's condition and email from the sheet; null where the sheet lacks the claim."""
+    labels = table(spark, d, "claim_labels").select("claim_id", normalize_label("label").alias("label")).filter("claim_id IS NOT NULL")
+    return labels.join(claims(spark, d).select("claim_id", "condition", "email"), "claim_id", "left")
+
+
+def labels_by_condition(spark, d):
+    """Labels of a second table by the condition of their claims, labels of unknown claims dropped."""
+    known = _labelled(spark, d).filter("email IS NOT NULL")
+    out = known.groupBy("condition").agg(F.count("*").alias("n_labels"), F.count_if(is_severe("label")).alias("n_severe"), F.count_if(is_factual("label")).alias("n_factual"))
+    return out.withColumn("severe_error_rate", r9(F.try_divide(F.col("n_severe").cast("double"), F.col("n_factual"))))
+
+
+def labels_all_known(spark, d):
+    """The same join where a label of an unknown claim is an error that ends the query."""
+    email = F.when(F.col("email").isNull(), F.raise_error(F.concat(F.lit("no such claim: "), "claim_id"))).otherwise(F.col("email"))
+    return _labelled(spark, d).withColumn("email", email).groupBy("email").agg(F.count("*").alias("n_labels"))
+
+
+def unlabelled_claims(spark, d):
+    """Claims of the sheet that claim_labels has no label for, by condition."""
+    labelled = table(spark, d, "claim_labels").select("claim_id").distinct()
+    return claims(spark, d).join(labelled, "claim_id", "left_anti").groupBy("condition").agg(F.count("*").alias("n_claims"))
 
 
 def leave_one_field_out(spark, d):
@@ -198,6 +223,25 @@ def cluster_bootstrap_ci(spark, d):
     return _bootstrap(spark, d, pooled=True)
 
 
+def condition_table(spark, d):
+    """One row per condition: counts, severe-error rate with its exact and its cluster interval, density, email-level rate
+    with its exact interval, rounded to four digits."""
+    base = severe_rate_by_condition(spark, d)
+    judged = rates.per_email(claims(spark, d), ["condition"], "email", "label_1").filter("n_factual > 0").groupBy("condition").agg(F.count("*").alias("n_judged"), F.count_if(F.col("n_severe") > 0).alias("n_email_severe"))
+    boot = cluster_bootstrap_ci(spark, d).select("condition", F.col("low").alias("cluster_low"), F.col("high").alias("cluster_high"))
+    wide = base.join(judged, "condition", "left").join(boot, "condition", "left").fillna(0, ["n_judged", "n_email_severe"])
+    columns = ["exact_low", "exact_high", "email_low", "email_high"]
+
+    def run(frames):
+        for f in frames:
+            ci = [(*clopper_pearson(int(k), int(n)), *clopper_pearson(int(e), int(m))) for k, n, e, m in zip(f["n_severe"], f["n_factual"], f["n_email_severe"], f["n_judged"])]
+            yield f.assign(**{c: [x[i] for x in ci] for i, c in enumerate(columns)})
+
+    kinds = ", ".join(f"{n} {t}" for n, t in wide.dtypes) + "".join(f", {c} double" for c in columns)
+    out = wide.mapInPandas(run, kinds)
+    return out.select(*[F.bround(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 def fisher_deletions(spark, d):
     """Fisher's exact test of deletions against other edits, condition C against D."""
     e = _edits(spark, d).groupBy().agg(*[F.count_if((F.col("condition") == x) & (F.col("action") == "delete") if deleted else (F.col("condition") == x) & (F.col("action") != "delete")).alias(f"{x}{int(deleted)}") for x in "CD" for deleted in (True, False)])
@@ -251,7 +295,7 @@ def queries():
     names = [
         severe_rate_by_condition, severe_rate_any_label, label_rate, evaluator_by_condition, field_by_condition_pivot, leave_one_field_out, human_coverage,
         edit_action_rates, edit_rates_per_run, run_metadata, cohen_kappa, kappa_wald_ci, confusion_matrix, per_label_prf, disagreement_direction, rater_overlap, judged_by_ordinal,
-        severe_interval, supported_interval, bootstrap_ci, cluster_bootstrap_ci, fisher_deletions,
+        severe_interval, supported_interval, bootstrap_ci, cluster_bootstrap_ci, fisher_deletions, labels_by_condition, labels_all_known, unlabelled_claims, condition_table,
     ]
     return {f.__name__: f for f in names}
 
@@ -269,6 +313,10 @@ def oracle_sql():
         "evaluator_by_condition": f"""WITH {_CLAIMS}, b AS (SELECT 'first' AS evaluator, condition, label_1 AS l FROM cl UNION ALL SELECT 'second', condition, label_2 FROM cl)
             SELECT evaluator, condition, count(*) FILTER ({_FACT.format(c="l")}) AS n_factual, count(*) FILTER ({_SEV.format(c="l")}) AS n_severe, round(n_severe / nullif(n_factual, 0)::DOUBLE, 9) AS severe_error_rate FROM b GROUP BY ALL""",
         "field_by_condition_pivot": f"WITH {_CLAIMS} SELECT field, " + ", ".join(f"count(*) FILTER (condition = 'batch-{x}' AND {_S1}) AS batch_{x}_severe, count(*) FILTER (condition = 'batch-{x}' AND {_F1}) AS batch_{x}_factual" for x in "abcd") + " FROM cl GROUP BY field",
+        "labels_by_condition": f"""WITH {_CLAIMS}, j AS (SELECT condition, {_n("label")} AS l FROM claim_labels JOIN cl USING (claim_id) WHERE email IS NOT NULL)
+            SELECT condition, count(*) AS n_labels, count(*) FILTER ({_SEV.format(c="l")}) AS n_severe, count(*) FILTER ({_FACT.format(c="l")}) AS n_factual, round(n_severe / nullif(n_factual, 0)::DOUBLE, 9) AS severe_error_rate FROM j GROUP BY condition""",
+        "labels_all_known": f"WITH {_CLAIMS} SELECT email, count(*) AS n_labels FROM claim_labels JOIN cl USING (claim_id) GROUP BY email",
+        "unlabelled_claims": f"WITH {_CLAIMS} SELECT condition, count(*) AS n_claims FROM cl WHERE claim_id NOT IN (SELECT claim_id FROM claim_labels WHERE claim_id IS NOT NULL) GROUP BY condition",
         "leave_one_field_out": f"""WITH {_CLAIMS}, p AS (SELECT condition, field, count(*) FILTER ({_S1}) AS s, count(*) FILTER ({_F1}) AS f FROM cl GROUP BY ALL), t AS (SELECT condition, sum(s) AS s, sum(f) AS f FROM p GROUP BY ALL)
             SELECT condition, field, (t.s - p.s)::BIGINT AS n_severe, (t.f - p.f)::BIGINT AS n_factual, round((t.s - p.s) / nullif(t.f - p.f, 0)::DOUBLE, 9) AS severe_error_rate FROM p JOIN t USING (condition)""",
         "human_coverage": f"WITH {_CLAIMS} SELECT condition, count(*) AS n_claims, count(*) FILTER ({_FACT.format(c='final')}) AS n_factual, count(*) FILTER ({_SEV.format(c='final')}) AS n_severe, count(DISTINCT email) AS n_emails FROM cl WHERE final IS NOT NULL GROUP BY condition",

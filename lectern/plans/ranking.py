@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import bare_id, latest
-from lectern.functions.rank import first_rows, hash_rank_id, midrank, midrank_place, with_midrank, with_previous
+from lectern.functions.rank import cascading_midrank, first_rows, hash_rank_id, midrank, midrank_place, with_midrank, with_previous
 from lectern.operators.portfolio import tier
 from lectern.sources.tables import table
 from lectern.storage import materialize
@@ -30,19 +30,15 @@ def midrank_percentile(spark, d):
 
 
 def strata_cascade(spark, d):
-    """Percentile within the first stratum with enough scored members: field and year, then year, then all."""
-    p = materialize(papers(spark, d).select("professor_id", "paper_id", "field", "publication_year", "complexity_score"), "strata")
-    scored = F.count("complexity_score")
-    levels = {"field_year": ["field", "publication_year"], "year": ["publication_year"], "global": []}
-    out = p
-    for name, keys in levels.items():
-        if keys:
-            n = p.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(scored.alias(f"n_{name}"))
-            out = out.join(n, keys, "left")
-        out = with_midrank(out, keys, "complexity_score", f"p_{name}")
-    chosen = F.when(F.coalesce("n_field_year", F.lit(0)) >= STRATUM_LEAST, F.lit("field_year")).when(F.coalesce("n_year", F.lit(0)) >= STRATUM_LEAST, F.lit("year")).otherwise("global")
-    pct = F.when(chosen == "field_year", F.col("p_field_year")).when(chosen == "year", F.col("p_year")).otherwise(F.col("p_global"))
-    return out.select("professor_id", "paper_id", chosen.alias("stratum"), F.round(pct, 9).alias("percentile"))
+    """Percentile within the first stratum with enough scored members: field and year, domain and year, year, all.
+
+    A paper's domain is that of its first topic: the topic's id without its last three digits."""
+    topic = F.split(F.coalesce("topic_ids", F.lit("")), r"\|")[0]
+    domain = F.when(topic.rlike(r"^T\d{4,}$"), F.expr("left(split(topic_ids, '[|]')[0], length(split(topic_ids, '[|]')[0]) - 3)"))
+    p = papers(spark, d).select("professor_id", "paper_id", "field", "publication_year", domain.alias("domain"), "complexity_score")
+    levels = [("field_year", ["field", "publication_year"]), ("domain_year", ["domain", "publication_year"]), ("year", ["publication_year"]), ("global", [])]
+    out = cascading_midrank(materialize(p, "strata"), levels, "complexity_score", STRATUM_LEAST)
+    return out.select("professor_id", "paper_id", "stratum", F.round("percentile", 9).alias("percentile"))
 
 
 def popularity_percentiles(spark, d):
@@ -149,10 +145,15 @@ def oracle_sql():
     feats = ", ".join(f"f_{c} AS (SELECT paper_key, {_pct('', c)} AS x FROM paper_features WHERE {c} IS NOT NULL AND NOT isnan({c}::DOUBLE) AND paper_key IS NOT NULL)" for c in WEIGHTS)
     return {
         "midrank_percentile": f"WITH {PAPERS_SQL}, {scored}, r AS (SELECT field, complexity_score, {_pct('field', 'complexity_score')} AS p, count(*) OVER (PARTITION BY field) AS n FROM sc) SELECT DISTINCT field, complexity_score, round(p, 9) AS percentile, n AS stratum_size FROM r",
-        "strata_cascade": f"""WITH {PAPERS_SQL}, {scored}, r AS (SELECT professor_id, paper_id, {_pct('field, publication_year', 'complexity_score')} AS a, {_pct('publication_year', 'complexity_score')} AS b, {_pct('', 'complexity_score')} AS c FROM sc),
-            n AS (SELECT *, CASE WHEN publication_year IS NOT NULL THEN count(complexity_score) OVER (PARTITION BY field, publication_year) ELSE 0 END AS nf, CASE WHEN publication_year IS NOT NULL THEN count(complexity_score) OVER (PARTITION BY publication_year) ELSE 0 END AS ny FROM pp),
-            s AS (SELECT professor_id, paper_id, CASE WHEN nf >= {STRATUM_LEAST} THEN 'field_year' WHEN ny >= {STRATUM_LEAST} THEN 'year' ELSE 'global' END AS stratum FROM n)
-            SELECT professor_id, paper_id, stratum, round(CASE stratum WHEN 'field_year' THEN a WHEN 'year' THEN b ELSE c END, 9) AS percentile FROM s LEFT JOIN r USING (professor_id, paper_id)""",
+        "strata_cascade": f"""WITH {PAPERS_SQL}, dp AS (
+              SELECT *, CASE WHEN regexp_matches(string_split(topic_ids, '|')[1], '^T\\d{{4,}}$') THEN left(string_split(topic_ids, '|')[1], length(string_split(topic_ids, '|')[1]) - 3) END AS domain FROM pp),
+            r AS (SELECT professor_id, paper_id, {_pct('field, publication_year', 'complexity_score')} AS a, {_pct('domain, publication_year', 'complexity_score')} AS a2,
+              {_pct('publication_year', 'complexity_score')} AS b, {_pct('', 'complexity_score')} AS c FROM dp WHERE complexity_score IS NOT NULL),
+            n AS (SELECT *, CASE WHEN publication_year IS NOT NULL THEN count(complexity_score) OVER (PARTITION BY field, publication_year) ELSE 0 END AS nf,
+              CASE WHEN publication_year IS NOT NULL AND domain IS NOT NULL THEN count(complexity_score) OVER (PARTITION BY domain, publication_year) ELSE 0 END AS nd,
+              CASE WHEN publication_year IS NOT NULL THEN count(complexity_score) OVER (PARTITION BY publication_year) ELSE 0 END AS ny FROM dp),
+            s AS (SELECT professor_id, paper_id, CASE WHEN nf >= {STRATUM_LEAST} THEN 'field_year' WHEN nd >= {STRATUM_LEAST} THEN 'domain_year' WHEN ny >= {STRATUM_LEAST} THEN 'year' ELSE 'global' END AS stratum FROM n)
+            SELECT professor_id, paper_id, stratum, round(CASE stratum WHEN 'field_year' THEN a WHEN 'domain_year' THEN a2 WHEN 'year' THEN b ELSE c END, 9) AS percentile FROM s LEFT JOIN r USING (professor_id, paper_id)""",
         "popularity_percentiles": f"WITH {PAPERS_SQL}, c AS (SELECT * FROM pp WHERE citation_count >= 0 AND publication_year IS NOT NULL) SELECT professor_id, paper_id, round({_pct('field, publication_year', 'citation_count')}, 9) AS field_year_percentile, round({_pct('publication_year', 'citation_count')}, 9) AS year_percentile FROM c",
         "complexity_score": f"WITH {feats} SELECT p.paper_key, round(" + " + ".join(f"f_{c}.x * {w}::DOUBLE" for c, w in WEIGHTS.items()) + ", 9) AS score FROM (SELECT paper_key FROM paper_features WHERE paper_key IS NOT NULL) p " + " ".join(f"LEFT JOIN f_{c} ON p.paper_key = f_{c}.paper_key" for c in WEIGHTS),
         "tiers": f"WITH {PAPERS_SQL}, {scored}, r AS (SELECT professor_id, paper_id, {_pct('', 'complexity_score')} AS x FROM sc) SELECT CASE WHEN x IS NULL THEN NULL WHEN x < 30 THEN 'low' WHEN x < 70 THEN 'medium' ELSE 'high' END AS tier, count(*) AS n_papers FROM pp LEFT JOIN r USING (professor_id, paper_id) GROUP BY tier",

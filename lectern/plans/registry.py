@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import claim_metrics, experiments, nested_records, portfolios, projections, ranking, relations, texts
+from lectern.plans import claim_metrics, experiments, nested_records, portfolios, projections, ranking, records, relations, texts
 
-_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios, relations, projections, experiments]
+_MODULES = [claim_metrics, nested_records, texts, ranking, portfolios, relations, projections, experiments, records]
 
 
 def queries():

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.columns import bare_id, latest
+from lectern.functions.rank import first_rows
 from lectern.functions.text import any_secret, doi, title_key
 from lectern.operators import quality as Q
 from lectern.operators.collect import collection_summary, cursor_chain, first_seen, status_cascade
@@ -62,14 +65,20 @@ def overlap_profiles(spark, d):
 
 
 def doi_title_conflict(spark, d):
-    """DOIs under which works of different titles run."""
+    """DOIs by whether works of different titles run under them."""
     w = works(spark, d).filter("doi IS NOT NULL AND tk IS NOT NULL").groupBy("doi").agg(F.countDistinct("tk").alias("n_titles"), F.count("*").alias("n_works"))
-    return w.filter("n_titles > 1")
+    return w.groupBy((F.col("n_titles") > 1).alias("several_titles")).agg(F.count("*").alias("n_dois"), F.sum("n_works").alias("n_works"))
+
+
+def title_doi_conflict(spark, d):
+    """Titles under which several DOIs run: copies of a work under other ids."""
+    w = works(spark, d).filter("doi IS NOT NULL AND tk IS NOT NULL").groupBy("tk").agg(F.countDistinct("doi").alias("n_dois"), F.countDistinct("work").alias("n_works"))
+    return w.filter("n_dois > 1")
 
 
 def author_name_conflict(spark, d):
-    """Author ids that appear with different names in works."""
-    x = works(spark, d).select(F.explode("authorships").alias("a")).select(bare_id("a.author.id").alias("author"), F.lower(F.trim("a.author.display_name")).alias("name")).filter("author IS NOT NULL AND name IS NOT NULL")
+    """Author ids under which works print different names."""
+    x = works(spark, d).select(F.explode("authorships").alias("a")).select(bare_id("a.author.id").alias("author"), F.lower(F.trim("a.raw_author_name")).alias("name")).filter("author IS NOT NULL AND name IS NOT NULL")
     return x.groupBy("author").agg(F.countDistinct("name").alias("n_names")).filter("n_names > 1")
 
 
@@ -107,6 +116,9 @@ def fk_antijoin(spark, d):
         Q.orphans(c, "professor_id", p, "professor_id", "paper_without_professor"),
         Q.orphans(e, "professor_id", p, "professor_id", "evidence_without_professor"),
         Q.orphans(c, "paper_id", w, "work", "paper_without_work"),
+        Q.orphans(e, "paper_key", table(spark, d, "paper_features"), "paper_key", "evidence_without_features"),
+        Q.orphans(table(spark, d, "documents"), "professor_id", c, "professor_id", "document_without_papers"),
+        Q.orphans(table(spark, d, "claims_to_label"), "claim_id", table(spark, d, "claim_labels"), "claim_id", "claim_without_label"),
     ])
 
 
@@ -114,6 +126,7 @@ def fk_antijoin_star(spark, d):
     o, c, l, p = (table(spark, d, t) for t in ("orders", "customer", "lineitem", "part"))
     return Q.report([
         Q.orphans(c, "c_custkey", o, "o_custkey", "customer_without_order"), Q.orphans(l, "l_orderkey", o, "o_orderkey", "line_without_order"), Q.orphans(p, "p_partkey", l, "l_partkey", "part_never_ordered"),
+        Q.orphans(o, "o_orderkey", l, "l_orderkey", "order_without_line"),
     ])
 
 
@@ -131,10 +144,10 @@ def required_counts(spark, d):
 
 
 def selection_set_equality(spark, d):
-    """Professors whose evidence papers (by number) and selected papers differ as sets of years."""
-    e = table(spark, d, "evidence_papers").filter("professor_id IS NOT NULL").select("professor_id", "publication_year")
-    s = papers(spark, d).filter("selected").select("professor_id", "publication_year")
-    return Q.differing_sets(e, s, "professor_id", "publication_year", "years_differ")
+    """Professors whose selected papers and papers of highest score (the eight best) differ as sets."""
+    p = papers(spark, d)
+    best = first_rows(p.filter("complexity_score IS NOT NULL").select("professor_id", "paper_id", "complexity_score"), ["professor_id"], [F.desc("complexity_score"), F.col("paper_id")], 8)
+    return Q.differing_sets(p.filter("selected"), best, "professor_id", "paper_id", "papers_differ")
 
 
 def unreferenced_full_outer(spark, d):
@@ -155,8 +168,18 @@ def secret_scan(spark, d):
 
 
 def private_name_scan(spark, d):
-    """Profile names that stand in documents as whole words."""
-    names = table(spark, d, "authors_page").select("display_name").filter("display_name IS NOT NULL")
+    """Documents that name a person of any column that holds names, by source."""
+    a, w, e = (table(spark, d, t) for t in ("authors_page", "works_page", "evidence_papers"))
+    printed = w.select(F.explode("authorships").alias("a"))
+    parts = [a.select(F.col("display_name").alias("n")), a.select(F.explode("display_name_alternatives").alias("n")), printed.select(F.col("a.raw_author_name").alias("n")), printed.select(F.col("a.author.display_name").alias("n")), e.select(F.explode("authors").alias("n"))]
+    docs = table(spark, d, "documents")
+    named = Q.containing_names(docs, "doc_id", "text", reduce(DataFrame.union, parts), "n").select("doc_id").distinct().withColumn("naming", F.lit(1))
+    return docs.select("doc_id", "source").join(named, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n_documents"), F.count("naming").alias("n_naming"))
+
+
+def topic_name_scan(spark, d):
+    """Names of the profiles' topics that stand in documents."""
+    names = table(spark, d, "authors_page").select(F.explode("topics").alias("t")).select("t.display_name")
     return Q.containing_names(table(spark, d, "documents"), "doc_id", "text", names, "display_name")
 
 
@@ -220,7 +243,7 @@ _WORKS = r"""
 wk AS (SELECT * EXCLUDE (rn) FROM (SELECT regexp_extract(id, '([^/]+)/*$', 1) AS work, title, nullif(trim(regexp_replace(lower(trim(ids.doi)), '^(?:https?://[^/]+/|doi:\s*)', '')), '') AS doi,
   nullif(trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS tk, publication_year, cited_by_count, authorships,
   row_number() OVER (PARTITION BY regexp_extract(id, '([^/]+)/*$', 1) ORDER BY retrieved_at DESC, row_id DESC) AS rn FROM works_page WHERE id IS NOT NULL) WHERE rn = 1),
-wa AS (SELECT work, nullif(regexp_extract(a.author.id, '([^/]+)/*$', 1), '') AS author, lower(trim(a.author.display_name)) AS name FROM (SELECT work, unnest(authorships) AS a FROM wk))
+wa AS (SELECT work, nullif(regexp_extract(a.author.id, '([^/]+)/*$', 1), '') AS author, lower(trim(a.raw_author_name)) AS name FROM (SELECT work, unnest(authorships) AS a FROM wk))
 """
 
 
@@ -228,11 +251,26 @@ def _orphan_sql(check, key, frm, parents):
     return f"SELECT '{check}' AS check_name, k::VARCHAR AS entity, count(*)::VARCHAR AS detail FROM (SELECT {key} AS k FROM {frm}) WHERE k IS NOT NULL AND k::VARCHAR <> '' AND k NOT IN (SELECT x FROM ({parents}) WHERE x IS NOT NULL) GROUP BY k"
 
 
+def _scan_sql(names, by_source=False):
+    """Full-width forms and no-break spaces stand for all that compatibility folding does to these texts."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    plain = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    form = lambda c: f"trim(regexp_replace(lower(translate(replace(replace(nfc_normalize({c}), 'ﬁ', 'fi'), 'ﬀ', 'ff'), '{wide}', '{plain}')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    found = f"""WITH n AS (SELECT n, {form('n')} AS k FROM ({names}) WHERE n IS NOT NULL), t AS (SELECT doc_id, {form('text')} AS t FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT doc_id, n AS name FROM t JOIN n ON length(k) >= 4 AND contains(t, k)"""
+    if not by_source:
+        return found
+    return f"SELECT source, count(*) AS n_documents, count(f.doc_id) AS n_naming FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM ({found})) f USING (doc_id) GROUP BY source"
+
+
 _FK = " UNION ALL ".join([
     _orphan_sql("professor_without_profile", _B.format("openalex_author_id"), "professors", f"SELECT {_B.format('id')} AS x FROM authors_page"),
     _orphan_sql("paper_without_professor", "professor_id", "candidate_papers", "SELECT professor_id AS x FROM professors"),
     _orphan_sql("evidence_without_professor", "professor_id", "evidence_papers", "SELECT professor_id AS x FROM professors"),
     _orphan_sql("paper_without_work", "paper_id", "candidate_papers", f"SELECT {_B.format('id')} AS x FROM works_page"),
+    _orphan_sql("evidence_without_features", "paper_key", "evidence_papers", "SELECT paper_key AS x FROM paper_features"),
+    _orphan_sql("document_without_papers", "professor_id", "documents", "SELECT professor_id AS x FROM candidate_papers"),
+    _orphan_sql("claim_without_label", "claim_id", "claims_to_label", "SELECT claim_id AS x FROM claim_labels"),
 ])
 _UNIQUE = f"""SELECT 'work_delivered_again' AS check_name, k AS entity, count(*)::VARCHAR AS detail FROM (SELECT nullif({_B.format('id')}, '') AS k FROM works_page) GROUP BY k HAVING count(*) > 1
     UNION ALL SELECT 'professor_again', professor_id, count(*)::VARCHAR FROM professors GROUP BY professor_id HAVING count(*) > 1
@@ -245,7 +283,7 @@ def queries():
     names = [
         first_seen_dedupe, collection_totals, screening_cascade, publication_years, author_projection, overlap_profiles, doi_title_conflict, author_name_conflict, work_consistency,
         pool_selected_focal, filter_grid, fk_antijoin, fk_antijoin_star, uniqueness, required_counts, selection_set_equality, unreferenced_full_outer, marker_check, secret_scan,
-        private_name_scan, error_report, replayed_authors, page_chain, representative_papers, candidate_pools, focal_pairs, margin_sampler, margin_targets,
+        private_name_scan, topic_name_scan, title_doi_conflict, error_report, replayed_authors, page_chain, representative_papers, candidate_pools, focal_pairs, margin_sampler, margin_targets,
     ]
     return {f.__name__: f for f in names}
 
@@ -259,7 +297,7 @@ def oracle_sql():
         "publication_years": "WITH y AS (SELECT row_id, list_transform(list_filter(counts_by_year, lambda x: x.works_count > 0 AND x.year BETWEEN 1500 AND 2100), lambda x: x.year) AS y FROM authors_page) SELECT row_id, list_min(y) AS first_year, list_max(y) AS last_year FROM y",
         "author_projection": f"SELECT row_id, nullif({b('id')}, '') AS author, trim(display_name) AS name, nullif({b('last_known_institutions[1].id')}, '') AS institution, last_known_institutions[1].country_code AS country, nullif({b('topics[1].id')}, '') AS topic, summary_stats.h_index AS h_index, coalesce(len(affiliations), 0)::INT AS n_affiliations FROM authors_page",
         "overlap_profiles": f"WITH {_WORKS}, x AS (SELECT DISTINCT work, author FROM wa WHERE author IS NOT NULL), s AS (SELECT work FROM x GROUP BY work HAVING count(*) > 1) SELECT author, count(*) AS n_shared FROM x SEMI JOIN s USING (work) GROUP BY author",
-        "doi_title_conflict": f"WITH {_WORKS} SELECT doi, count(DISTINCT tk) AS n_titles, count(*) AS n_works FROM wk WHERE doi IS NOT NULL AND tk IS NOT NULL GROUP BY doi HAVING count(DISTINCT tk) > 1",
+        "doi_title_conflict": f"WITH {_WORKS}, g AS (SELECT doi, count(DISTINCT tk) > 1 AS several_titles, count(*) AS n FROM wk WHERE doi IS NOT NULL AND tk IS NOT NULL GROUP BY doi) SELECT several_titles, count(*) AS n_dois, sum(n)::BIGINT AS n_works FROM g GROUP BY 1",
         "author_name_conflict": f"WITH {_WORKS} SELECT author, count(DISTINCT name) AS n_names FROM wa WHERE author IS NOT NULL AND name IS NOT NULL GROUP BY author HAVING count(DISTINCT name) > 1",
         "work_consistency": f"""WITH {_WORKS}, s AS (SELECT doi, count(DISTINCT work) AS n FROM wk WHERE doi IS NOT NULL GROUP BY doi), r AS (SELECT work, count(author) > count(DISTINCT author) AS rep FROM wa GROUP BY work),
             i AS (SELECT work, list_filter([CASE WHEN tk IS NULL THEN 'missing_title' END, CASE WHEN publication_year IS NULL THEN 'missing_year' END, CASE WHEN coalesce(s.n, 0) > 1 THEN 'shared_doi' END, CASE WHEN r.rep THEN 'repeated_author' END], lambda x: x IS NOT NULL) AS i FROM wk LEFT JOIN s USING (doi) LEFT JOIN r USING (work))
@@ -267,15 +305,21 @@ def oracle_sql():
         "pool_selected_focal": f"WITH {PAPERS_SQL} SELECT CASE WHEN focal THEN 'focal' WHEN selected THEN 'selected' ELSE 'pool' END AS role, count(*) AS n_papers FROM pp GROUP BY 1",
         "filter_grid": "WITH i AS (SELECT unnest(last_known_institutions) AS i FROM authors_page), c AS (SELECT DISTINCT i.country_code AS country FROM i WHERE i.country_code IS NOT NULL), t AS (SELECT DISTINCT i.type AS institution_type FROM i WHERE i.type IS NOT NULL) SELECT * FROM c, t",
         "fk_antijoin": _FK,
-        "fk_antijoin_star": " UNION ALL ".join([_orphan_sql("customer_without_order", "c_custkey", "customer", "SELECT o_custkey AS x FROM orders"), _orphan_sql("line_without_order", "l_orderkey", "lineitem", "SELECT o_orderkey AS x FROM orders"), _orphan_sql("part_never_ordered", "p_partkey", "part", "SELECT l_partkey AS x FROM lineitem")]),
+        "fk_antijoin_star": " UNION ALL ".join([_orphan_sql("customer_without_order", "c_custkey", "customer", "SELECT o_custkey AS x FROM orders"), _orphan_sql("line_without_order", "l_orderkey", "lineitem", "SELECT o_orderkey AS x FROM orders"), _orphan_sql("part_never_ordered", "p_partkey", "part", "SELECT l_partkey AS x FROM lineitem"), _orphan_sql("order_without_line", "o_orderkey", "orders", "SELECT l_orderkey AS x FROM lineitem")]),
         "uniqueness": _UNIQUE,
         "required_counts": f"WITH {PAPERS_SQL} {_COUNTS}",
-        "selection_set_equality": f"""WITH {PAPERS_SQL}, a AS (SELECT professor_id, coalesce(list_sort(list(DISTINCT publication_year)), []) AS s, count(DISTINCT publication_year) AS n, bool_or(publication_year IS NULL) AS z FROM evidence_papers WHERE professor_id IS NOT NULL GROUP BY ALL), b AS (SELECT professor_id, coalesce(list_sort(list(DISTINCT publication_year)), []) AS s, count(DISTINCT publication_year) AS n, bool_or(publication_year IS NULL) AS z FROM pp WHERE selected GROUP BY ALL)
-            SELECT 'years_differ' AS check_name, professor_id AS entity, coalesce(a.n, 0) || '/' || coalesce(b.n, 0) AS detail FROM a FULL JOIN b USING (professor_id) WHERE a.s IS NULL OR b.s IS NULL OR a.s <> b.s OR a.z <> b.z""",
+        "selection_set_equality": f"""WITH {PAPERS_SQL}, a AS (SELECT professor_id, list_sort(list(paper_id)) AS s FROM pp WHERE selected GROUP BY ALL),
+            b AS (SELECT professor_id, list_sort(list(paper_id)) AS s FROM (SELECT *, row_number() OVER (PARTITION BY professor_id ORDER BY complexity_score DESC, paper_id) AS r FROM pp WHERE complexity_score IS NOT NULL) WHERE r <= 8 GROUP BY ALL)
+            SELECT 'papers_differ' AS check_name, professor_id AS entity, coalesce(len(a.s), 0) || '/' || coalesce(len(b.s), 0) AS detail FROM a FULL JOIN b USING (professor_id) WHERE a.s IS DISTINCT FROM b.s""",
         "unreferenced_full_outer": f"WITH a AS (SELECT DISTINCT nullif({b('openalex_work_id')}, '') AS work FROM candidate_papers WHERE openalex_work_id IS NOT NULL), b AS (SELECT DISTINCT nullif({b('id')}, '') AS work FROM works_page WHERE id IS NOT NULL) SELECT CASE WHEN b.work IS NULL THEN 'only_left' WHEN a.work IS NULL THEN 'only_right' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.work = b.work WHERE coalesce(a.work, b.work) IS NOT NULL GROUP BY 1",
         "marker_check": "SELECT professor_id, count(*) AS n_rows, count(DISTINCT paper_id) AS n_papers, count(*) = count(DISTINCT paper_id) AS complete, strftime(min(collected_at), '%Y-%m-%d') AS first_day, strftime(max(collected_at), '%Y-%m-%d') AS last_day FROM candidate_papers WHERE professor_id IS NOT NULL GROUP BY professor_id",
-        "secret_scan": r"SELECT source, count(*) AS n_documents, count(*) FILTER (regexp_matches(text, 'sk-[A-Za-z0-9]{16,}') OR regexp_matches(text, '(?i)api[_-]?key\s*[:=]\s*\S+') OR regexp_matches(text, '(?i)bearer\s+[A-Za-z0-9._\-]{16,}') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----')) AS n_suspect FROM documents GROUP BY source",
-        "private_name_scan": r"WITH n AS (SELECT DISTINCT display_name AS name, array_to_string(regexp_extract_all(lower(display_name), '[\p{L}\p{N}]+'), ' ') AS k, len(regexp_extract_all(lower(display_name), '[\p{L}\p{N}]+')) AS c FROM authors_page WHERE display_name IS NOT NULL), t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') || ' ' AS t FROM documents) SELECT DISTINCT doc_id, name FROM t JOIN n ON c BETWEEN 1 AND 4 AND length(k) >= 4 AND contains(t, ' ' || k || ' ')",
+        "secret_scan": r"""WITH t AS (SELECT source, text, lower(text) AS l FROM documents) SELECT source, count(*) AS n_documents, count(*) FILTER (
+              regexp_matches(l, '(api[-_]?key|(access|auth)[-_]?token|password|secret)["'']?\s*[:=]\s*["'']?[a-z0-9_./+=-]{6}') OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{15,}[A-Za-z0-9_]\b')
+              OR regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '-----BEGIN ((RSA|EC|OPENSSH) )?PRIVATE KEY-----')) AS n_suspect FROM t GROUP BY source""",
+        "private_name_scan": _scan_sql("""SELECT display_name AS n FROM authors_page UNION SELECT unnest(display_name_alternatives) FROM authors_page UNION SELECT unnest(list_transform(authorships, lambda x: x.raw_author_name)) FROM works_page
+            UNION SELECT unnest(list_transform(authorships, lambda x: x.author.display_name)) FROM works_page UNION SELECT unnest(authors) FROM evidence_papers""", True),
+        "topic_name_scan": _scan_sql("SELECT DISTINCT n FROM (SELECT unnest(list_transform(topics, lambda x: x.display_name)) AS n FROM authors_page)"),
+        "title_doi_conflict": f"WITH {_WORKS} SELECT tk, count(DISTINCT doi) AS n_dois, count(DISTINCT work) AS n_works FROM wk WHERE doi IS NOT NULL AND tk IS NOT NULL GROUP BY tk HAVING count(DISTINCT doi) > 1",
         "error_report": f"WITH {PAPERS_SQL} SELECT check_name, count(*) AS n_errors FROM ({_FK} UNION ALL {_UNIQUE} UNION ALL {_COUNTS}) GROUP BY check_name",
         "replayed_authors": f"WITH p AS (SELECT page_id, unnest(json_extract(payload, '$.results[*]')) AS r, generate_subscripts(json_extract(payload, '$.results[*]'), 1) AS i FROM raw_pages WHERE json_valid(payload)) SELECT page_id, (i - 1)::INT AS pos, {b('r->>' + repr('$.id'))} AS author, r->>'$.display_name' AS name FROM p WHERE {b('r->>' + repr('$.id'))} <> ''",
         "page_chain": "WITH RECURSIVE p AS (SELECT CASE page_id WHEN 1 THEN '*' ELSE 'cursor-' || page_id END AS cur, payload->>'$.meta.next_cursor' AS nxt FROM raw_pages), c AS (SELECT '*' AS cursor, 0::BIGINT AS steps UNION ALL SELECT p.nxt, c.steps + 1 FROM c JOIN p ON p.cur = c.cursor WHERE p.nxt IS NOT NULL) SELECT * FROM c",

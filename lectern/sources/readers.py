@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import os
+import typing
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +60,30 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> tup
     return rows, problems
 
 
+def read_mapping(path: str) -> tuple[dict, list[str]]:
+    """(mapping, errors) of a small JSON file on the driver; nothing is raised, a file that is no mapping gives an empty one."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = json.load(f)
+    except (OSError, ValueError) as e:
+        return {}, [f"{path}: {e}"]
+    return (found, []) if isinstance(found, dict) else ({}, [f"{path}: not a mapping"])
+
+
+def typed_settings(found: dict, kind: type) -> tuple[object | None, list[str]]:
+    """(settings, errors): a mapping as a dataclass; unknown and missing names and values of another type are errors."""
+    fields = {f.name: f for f in dataclasses.fields(kind)}
+    hints = typing.get_type_hints(kind)
+    problems = [f"unknown setting {n}" for n in found if n not in fields]
+    for n, f in fields.items():
+        if n not in found:
+            if f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING:
+                problems.append(f"missing setting {n}")
+        elif not (isinstance(found[n], hints[n]) or (hints[n] is float and type(found[n]) is int)) or (isinstance(found[n], bool) and hints[n] is not bool):
+            problems.append(f"setting {n} is no {hints[n].__name__}")
+    return (None, problems) if problems else (kind(**found), [])
+
+
 def read_texts(spark: SparkSession, path: str, suffixes: Sequence[str]) -> DataFrame:
     """(path, text) of all files below ``path`` with one of the suffixes."""
     # Not the text source: with its one column pruned away (a count) it counts lines instead of files.

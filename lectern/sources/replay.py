@@ -15,13 +15,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "page_number long, file_name string, request_hash string, payload string"
 
 
-def _rows(files: list[str], first: int):
+def request_hash(payload: str) -> str:
+    """SHA-256 of the canonical request a page carries (``request`` in its envelope, keys sorted), else of its content.
+
+    The file's name plays no part: a renamed page is the same page, another page of the same name is not."""
     import hashlib
 
+    try:
+        page = json.loads(payload)
+    except ValueError:
+        page = None
+    request = page.get("request") if isinstance(page, dict) else None
+    text = json.dumps(request, sort_keys=True, separators=(",", ":")) if request is not None else payload
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _rows(files: list[str], first: int):
     for i, f in enumerate(files):
         with open(f, encoding="utf-8") as h:
             payload = h.read()
-        yield first + i, os.path.basename(f), hashlib.sha256(os.path.basename(f).encode()).hexdigest(), payload
+        yield first + i, os.path.basename(f), request_hash(payload), payload
 
 
 class _Reader(DataSourceReader):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def publish(df: DataFrame, path: str, kind: str = "json", force: bool = False) -> None:
@@ -26,6 +27,43 @@ def union_of_columns(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def sorted_keys(df: DataFrame) -> DataFrame:
+    """``df`` with its columns and the fields of its structs, at every depth, in order of name: JSON with sorted keys."""
+
+    def fix(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = sorted(kind.fields, key=lambda f: f.name)
+            return F.when(c.isNotNull(), F.struct(*[fix(c.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: fix(x, kind.elementType))
+        return c
+
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return df.select(*[fix(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
+
+
+def write_marker(spark: SparkSession, path: str, values: dict[str, str]) -> bool:
+    """Put down a completeness marker; True if it is new.  The same one again changes nothing, another one is an error."""
+    marker = spark.createDataFrame(sorted(values.items()), "name string, value string")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if {r.name: r.value for r in spark.read.schema(marker.schema).json(path).collect()} != values:
+            raise ValueError(f"another marker stands at {path}")
+        return False
+    marker.coalesce(1).write.mode("errorifexists").json(path)
+    return True
+
+
+def markdown_table(df: DataFrame, most: int = 1000) -> str:
+    """A small result as a table for a report; more rows than ``most`` are an error, so nothing large is collected."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no table for a report")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
 def append_pages(df: DataFrame, path: str) -> int:
     """Append pages (request_hash, checksum, ...) that the store at ``path`` lacks; returns how many.
 

@@ -11,6 +11,9 @@ import atexit
 import os
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,16 +44,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes on leaving what was written inside; results that read it must have been saved or counted by then."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        _delete(mark)
+
+
 def cleanup() -> None:
     """Delete every table written by ``materialize`` in this process; results that still read them become invalid."""
-    while _written:
+    _delete(0)
+
+
+def _delete(mark: int) -> None:
+    while len(_written) > mark:
         spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit; the folder belongs to the cluster then
-            pass
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue  # no way to the store any more; the folder belongs to the cluster
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True):
+            warnings.warn(f"could not delete {path}", stacklevel=2)
+
+
+def _at_exit() -> None:
+    try:
+        cleanup()
+    except Exception as e:  # the driver's JVM may be going already
+        warnings.warn(f"intermediate tables are left: {e}", stacklevel=1)
 
 
-atexit.register(cleanup)
+atexit.register(_at_exit)

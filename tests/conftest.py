@@ -7,12 +7,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     from lectern.session import ship
@@ -24,6 +25,15 @@ def spark():
     cleanup()
 
 
+@pytest.fixture(autouse=True)
+def _written_tables():
+    """What a test writes in between is gone when it ends."""
+    from lectern.storage import scope
+
+    with scope():
+        yield
+
+
 @pytest.fixture(scope="session")
 def sf():
     d = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.rank import first_rows, hash_rank_id, midrank, midrank_place, with_midrank, with_previous
+from lectern.functions.rank import cascading_midrank, first_rows, hash_rank_id, midrank, midrank_place, with_midrank, with_previous
 
 
 def rows(seed=1, n=400):
@@ -49,3 +49,25 @@ def test_anonymous_ids_ignore_row_order(spark):
     a = {r.k: r.anonymous_id for r in hash_rank_id(df, "p", "k", "v1").collect()}
     b = {r.k: r.anonymous_id for r in hash_rank_id(df.orderBy(F.desc("k")).repartition(3), "p", "k", "v1").collect()}
     assert a == b and sorted(a.values()) == [f"CS-{i:03d}" for i in range(1, 41)]
+
+
+def test_cascade_against_brute_force(spark):
+    rnd = random.Random(4)
+    data = [(rnd.choice(["f", "g", None]), rnd.choice([2001, 2002, 2003, None]), rnd.choice(["d", None]), rnd.choice([None, float("nan"), *[float(x) for x in range(9)]]), i) for i in range(300)]
+    data += [("f", 1990, "d", 5.0, 900), ("q", 1990, "e", 5.0, 901)]
+    levels = [("fy", ["f", "y"]), ("dy", ["d", "y"]), ("y", ["y"]), ("all", [])]
+    df = spark.createDataFrame(data, "f string, y int, d string, v double, id long").repartition(4)
+    got = {r.id: (r.stratum, r.percentile) for r in cascading_midrank(df, levels, "v", 12).collect()}
+    names = {"f": 0, "y": 1, "d": 2}
+    known = lambda x: x is not None and x == x
+    for row in data:
+        for name, columns in levels:
+            pool = [o[3] for o in data if known(o[3]) and all(o[names[c]] == row[names[c]] and row[names[c]] is not None for c in columns)]
+            if not columns or (all(row[names[c]] is not None for c in columns) and len(pool) >= 12):
+                break
+        v = row[3]
+        want = 100 * (sum(x < v for x in pool) + 0.5 * sum(x == v for x in pool)) / len(pool) if known(v) else None
+        assert got[row[4]][0] == name and (want is None) == (got[row[4]][1] is None) and (want is None or abs(want - got[row[4]][1]) < 1e-9)
+    assert {s for s, _ in got.values()} == {"fy", "dy", "y", "all"}
+    with pytest.raises(ValueError):
+        cascading_midrank(df, levels[:2], "v", 12)

@@ -65,3 +65,35 @@ def test_margin_sample_meets_targets_and_spreads(spark):
     again = margin_sample(df.orderBy(F.desc("k")).repartition(3), {("d", "x"): 3, ("d", "y"): 2}, "k", ["inst", "reg"], 5, 1)
     assert {r.k for r in again.collect()} == {r.k for r in chosen}
     assert margin_sample(df.limit(2), {("d", "x"): 3}, "k", ["inst", "reg"], 5, 1).count() == 2
+
+
+def test_margin_sample_against_every_record_each_step(spark):
+    import hashlib
+
+    for seed in range(4):
+        rnd = random.Random(seed)
+        rows = [(f"k{i:03d}", rnd.choice(["x", "y", None]), rnd.choice(["i1", "i2", "i3", f"j{i}", None]), rnd.choice(["r1", "r2", None])) for i in range(80)]
+        targets, size = {("d", "x"): 7, ("d", "y"): 5}, 20
+        mark = {k: hashlib.sha256(f"{seed}\x00{k}".encode()).hexdigest() for k, *_ in rows}
+        counts, seen, left, want = dict.fromkeys(targets, 0), [set(), set()], list(rows), []
+        for _ in range(size):
+            def cost(r):
+                now = {t: (abs(counts["d", t] + 1 - n) - abs(counts["d", t] - n)) / n for (_, t), n in targets.items()}
+                return (round(now.get(r[1], 0.0) + 0.05 * (r[2] in seen[0]) + 0.02 * (r[3] in seen[1]), 12), mark[r[0]])
+            best = min(left, key=cost)
+            left.remove(best)
+            want.append(best[0])
+            if ("d", best[1]) in counts:
+                counts["d", best[1]] += 1
+            for s, p in zip(seen, best[2:]):
+                if p is not None:
+                    s.add(p)
+        df = spark.createDataFrame(rows, "k string, d string, inst string, reg string").repartition(3)
+        got = margin_sample(df, targets, "k", ["inst", "reg"], size, seed)
+        assert [r.k for r in got.orderBy("selection_order").collect()] == want
+
+
+def test_margin_sample_of_a_thousand_seats(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.element_at(F.array(F.lit("x"), F.lit("y")), (F.col("id") % 2 + 1).cast("int")).alias("d"), F.concat(F.lit("i"), F.col("id") % 300).alias("inst"), F.lit("r").alias("reg"))
+    out = df.join(margin_sample(df, {("d", "x"): 600, ("d", "y"): 400}, "k", ["inst", "reg"], 1000, 3), "k")
+    assert {r.d: r["count"] for r in out.groupBy("d").count().collect()} == {"x": 600, "y": 400} and out.select("inst").distinct().count() == 300

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import random
 
@@ -149,3 +150,33 @@ def test_blinding_is_a_seeded_shuffle():
     order = sorted(runs)
     random.Random(42).shuffle(order)
     assert [r for r, _ in blinded_order(runs[::-1], 42)] == order and blinded_order(runs, 42)[0][1] == "E-0001"
+
+
+def test_mappings_and_settings(tmp_path):
+    @dataclasses.dataclass
+    class Settings:
+        seed: int
+        share: float = 0.5
+        name: str = "x"
+
+    good, bad = tmp_path / "a.json", tmp_path / "b.json"
+    good.write_text('{"seed": 3, "share": 1}')
+    bad.write_text("[1]")
+    found, problems = readers.read_mapping(str(good))
+    assert not problems and readers.typed_settings(found, Settings) == (Settings(3, 1), [])
+    assert readers.read_mapping(str(bad))[0] == {} and len(readers.read_mapping(str(bad))[1]) == len(readers.read_mapping(str(tmp_path / "none"))[1]) == 1
+    assert readers.typed_settings({"seed": True, "share": "a", "odd": 1}, Settings)[1] == ["unknown setting odd", "setting seed is no int", "setting share is no float"]
+    assert readers.typed_settings({}, Settings)[1] == ["missing setting seed"]
+
+
+def test_markers_sorted_keys_and_report_tables(spark, tmp_path):
+    at = str(tmp_path / "marker")
+    assert sinks.write_marker(spark, at, {"n": "3", "hash": "a"}) and not sinks.write_marker(spark, at, {"hash": "a", "n": "3"})
+    with pytest.raises(ValueError):
+        sinks.write_marker(spark, at, {"n": "4", "hash": "a"})
+    df = spark.createDataFrame([(1, ((2, "x"), [(3, 4)]), None), (2, None, "a|b")], "z int, m struct<b: struct<d: int, c: string>, a: array<struct<y: int, x: int>>>, k string")
+    assert sinks.sorted_keys(df).toJSON().collect()[0] == '{"m":{"a":[{"x":4,"y":3}],"b":{"c":"x","d":2}},"z":1}'
+    assert sinks.sorted_keys(df).filter("z = 2").first().m is None
+    assert sinks.markdown_table(df.select("z", "k").orderBy("z")) == "| z | k |\n| --- | --- |\n| 1 |  |\n| 2 | a\\|b |\n"
+    with pytest.raises(ValueError):
+        sinks.markdown_table(df.select("z"), 1)
