@@ -248,7 +248,7 @@ def fisher_deletions(spark, d):
 
     def run(frames):
         for f in frames:
-            yield f.assign(p_value=[fisher_exact(*map(int, r)) for r in f.itertuples(index=False)])
+            yield f.assign(p_value=[round(fisher_exact(*map(int, r)), 9) for r in f.itertuples(index=False)])
 
     return e.mapInPandas(run, "C1 long, C0 long, D1 long, D0 long, p_value double")
 
@@ -313,6 +313,10 @@ def oracle_sql():
         "evaluator_by_condition": f"""WITH {_CLAIMS}, b AS (SELECT 'first' AS evaluator, condition, label_1 AS l FROM cl UNION ALL SELECT 'second', condition, label_2 FROM cl)
             SELECT evaluator, condition, count(*) FILTER ({_FACT.format(c="l")}) AS n_factual, count(*) FILTER ({_SEV.format(c="l")}) AS n_severe, round(n_severe / nullif(n_factual, 0)::DOUBLE, 9) AS severe_error_rate FROM b GROUP BY ALL""",
         "field_by_condition_pivot": f"WITH {_CLAIMS} SELECT field, " + ", ".join(f"count(*) FILTER (condition = 'batch-{x}' AND {_S1}) AS batch_{x}_severe, count(*) FILTER (condition = 'batch-{x}' AND {_F1}) AS batch_{x}_factual" for x in "abcd") + " FROM cl GROUP BY field",
+        "fisher_deletions": f"""WITH {_EDITS}, n AS (SELECT count(*) FILTER (condition = 'C' AND action = 'delete') AS C1, count(*) FILTER (condition = 'C' AND action <> 'delete') AS C0, count(*) FILTER (condition = 'D' AND action = 'delete') AS D1, count(*) FILTER (condition = 'D' AND action <> 'delete') AS D0 FROM ed),
+            m AS (SELECT *, C1 + C0 AS r, D1 + D0 AS q, C1 + D1 AS k FROM n), x AS (SELECT m.*, unnest(range(greatest(0, k - q), least(k, r) + 1)) AS i FROM m),
+            l AS (SELECT *, lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(q + 1) - lgamma(k - i + 1) - lgamma(q - k + i + 1) - lgamma(r + q + 1) + lgamma(k + 1) + lgamma(r + q - k + 1) AS lp FROM x), o AS (SELECT lp AS seen FROM l WHERE i = C1)
+            SELECT C1, C0, D1, D0, round(least(1, sum(exp(lp)) FILTER (lp <= seen + 1e-7)), 9) AS p_value FROM l, o GROUP BY ALL""",
         "labels_by_condition": f"""WITH {_CLAIMS}, j AS (SELECT condition, {_n("label")} AS l FROM claim_labels JOIN cl USING (claim_id) WHERE email IS NOT NULL)
             SELECT condition, count(*) AS n_labels, count(*) FILTER ({_SEV.format(c="l")}) AS n_severe, count(*) FILTER ({_FACT.format(c="l")}) AS n_factual, round(n_severe / nullif(n_factual, 0)::DOUBLE, 9) AS severe_error_rate FROM j GROUP BY condition""",
         "labels_all_known": f"WITH {_CLAIMS} SELECT email, count(*) AS n_labels FROM claim_labels JOIN cl USING (claim_id) GROUP BY email",

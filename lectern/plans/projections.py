@@ -48,5 +48,6 @@ def oracle_sql():
         "institution_projection": f"WITH x AS (SELECT row_id, unnest(last_known_institutions) AS i, (generate_subscripts(last_known_institutions, 1) - 1)::INT AS pos FROM authors_page) SELECT row_id, pos, {b('i.id')} AS institution, nullif(trim(i.display_name), '') AS name, i.country_code AS country_code, i.type AS type, coalesce(len(i.lineage), 0)::INT AS n_lineage FROM x WHERE i IS NOT NULL",
         "work_projection": f"SELECT row_id, {b('id')} AS work, publication_year, open_access.is_oa AS is_oa, {b('primary_location.source.id')} AS source, coalesce(len(authorships), 0)::INT AS n_authors, coalesce(len(referenced_works), 0)::INT AS n_references FROM works_page",
         "topic_flattening": f"WITH x AS (SELECT row_id, unnest(topics) AS t, (generate_subscripts(topics, 1) - 1)::INT AS pos FROM works_page) SELECT row_id, pos, {b('t.id')} AS topic, trim(t.display_name) AS name, round(t.score, 6) AS score FROM x WHERE t.id IS NOT NULL",
+        "request_hashes": "SELECT page_id, sha256(CASE WHEN endpoint IS NULL THEN json_object('payload', payload) WHEN payload IS NULL THEN json_object('endpoint', endpoint) ELSE json_object('endpoint', endpoint, 'payload', payload) END::VARCHAR) AS request_hash FROM raw_pages",
         "anonymised_authors": f"SELECT row_id, {b('id')} AS author, {b('last_known_institutions[1].id')} AS institution, coalesce(len(list_distinct(list_transform(topics, lambda x: {b('x.id')}))) + (len(list_filter(topics, lambda x: x.id IS NULL)) > 0)::INT, 0)::INT AS n_topics FROM authors_page",
     }

@@ -279,6 +279,39 @@ _UNIQUE = f"""SELECT 'work_delivered_again' AS check_name, k AS entity, count(*)
 _COUNTS = "SELECT 'selected_papers' AS check_name, professor_id AS entity, count(*)::VARCHAR AS detail FROM pp WHERE selected GROUP BY professor_id HAVING count(*) <> 8"
 
 
+_ITEMS = """
+it AS MATERIALIZED (SELECT professor_id, paper_id, publication_year AS recency, CASE WHEN NOT isnan(citation_percentile_field_year) THEN citation_percentile_field_year END AS influence,
+  list_distinct(list_concat(list_transform(list_filter(string_split(coalesce(topic_ids, ''), '|'), lambda x: x <> ''), lambda x: 'topic:' || x), list_transform(list_filter(string_split(coalesce(method_tags, ''), '|'), lambda x: x <> ''), lambda x: 'method:' || x))) AS tokens,
+  coalesce(open_access::INT::DOUBLE, 0.5) AS opn, coalesce(abstract_available, false)::INT AS txt, coalesce(ownership_verified, false)::INT AS con FROM pp)
+"""
+
+
+def _greedy_sql(steps):
+    """Steps (reason, n) one after the other over the items of all professors; diversifying ones are made one by one."""
+    by = {"recent": "coalesce(recency, -1) DESC, paper_id", "influential": "coalesce(influence, -1) DESC, paper_id", "random": "sha256('1' || chr(0) || professor_id || chr(0) || paper_id), paper_id",
+          "diversifying": "len(list_filter(tokens, lambda x: NOT list_contains(coalesce(cov, []), x))) DESC, len(tokens) DESC, paper_id"}
+    ctes, prev = ["s0 AS (SELECT professor_id, paper_id, '' AS reason, tokens FROM it WHERE false)"], "s0"
+    for reason, n in [x for r, n in steps for x in ([(r, 1)] * n if r == "diversifying" else [(r, n)])]:
+        name = f"s{len(ctes)}"
+        ctes.append(f"""{name} AS MATERIALIZED (SELECT * FROM {prev} UNION ALL SELECT professor_id, paper_id, '{reason}', tokens FROM (
+            SELECT i.professor_id, i.paper_id, i.tokens, row_number() OVER (PARTITION BY i.professor_id ORDER BY {by[reason].replace('paper_id', 'i.paper_id').replace('professor_id', 'i.professor_id')}) AS rn
+            FROM it i LEFT JOIN (SELECT professor_id, list_distinct(flatten(list(tokens))) AS cov FROM {prev} GROUP BY professor_id) c ON c.professor_id = i.professor_id
+            WHERE NOT EXISTS (SELECT 1 FROM {prev} o WHERE o.professor_id = i.professor_id AND o.paper_id = i.paper_id)) WHERE rn <= {n})""")
+        prev = name
+    return f"WITH {PAPERS_SQL}, {_ITEMS}, {', '.join(ctes)} SELECT professor_id, paper_id, reason FROM {prev}"
+
+
+_FOCAL = f"""WITH {PAPERS_SQL}, {_ITEMS}, tk AS (SELECT professor_id, paper_id, unnest(tokens) AS t FROM it), w AS (SELECT professor_id, t, 1.0::DOUBLE / count(*) AS w FROM tk GROUP BY ALL),
+worth AS MATERIALIZED (SELECT professor_id, paper_id, t, w FROM tk JOIN w USING (professor_id, t)),
+c1 AS (SELECT professor_id, paper_id, sum(w) AS c FROM worth GROUP BY ALL), m1 AS (SELECT professor_id, max(c) AS m FROM c1 GROUP BY ALL),
+f1 AS MATERIALIZED (SELECT * FROM (SELECT it.professor_id, it.paper_id, it.tokens, row_number() OVER (PARTITION BY it.professor_id ORDER BY round(0.35::DOUBLE * opn + 0.25::DOUBLE * txt + 0.25::DOUBLE * con + 0.15::DOUBLE * coalesce(c / m, 0), 12) DESC, it.paper_id) AS rn
+  FROM it LEFT JOIN c1 USING (professor_id, paper_id) LEFT JOIN m1 USING (professor_id)) WHERE rn = 1),
+rest AS (SELECT x.* FROM worth x JOIN f1 USING (professor_id) WHERE NOT list_contains(f1.tokens, x.t)), c2 AS (SELECT professor_id, paper_id, sum(w) AS c FROM rest GROUP BY ALL), m2 AS (SELECT professor_id, max(c) AS m FROM c2 GROUP BY ALL),
+f2 AS (SELECT * FROM (SELECT it.professor_id, it.paper_id, row_number() OVER (PARTITION BY it.professor_id ORDER BY round(0.35::DOUBLE * opn + 0.25::DOUBLE * txt + 0.25::DOUBLE * con + 0.15::DOUBLE * coalesce(c / m, 0), 12) DESC, it.paper_id) AS rn
+  FROM it LEFT JOIN c2 USING (professor_id, paper_id) LEFT JOIN m2 USING (professor_id) WHERE NOT EXISTS (SELECT 1 FROM f1 WHERE f1.professor_id = it.professor_id AND f1.paper_id = it.paper_id)) WHERE rn = 1)
+SELECT professor_id, paper_id, 1 AS place FROM f1 UNION ALL SELECT professor_id, paper_id, 2 FROM f2"""
+
+
 def queries():
     names = [
         first_seen_dedupe, collection_totals, screening_cascade, publication_years, author_projection, overlap_profiles, doi_title_conflict, author_name_conflict, work_consistency,
@@ -322,5 +355,10 @@ def oracle_sql():
         "title_doi_conflict": f"WITH {_WORKS} SELECT tk, count(DISTINCT doi) AS n_dois, count(DISTINCT work) AS n_works FROM wk WHERE doi IS NOT NULL AND tk IS NOT NULL GROUP BY tk HAVING count(DISTINCT doi) > 1",
         "error_report": f"WITH {PAPERS_SQL} SELECT check_name, count(*) AS n_errors FROM ({_FK} UNION ALL {_UNIQUE} UNION ALL {_COUNTS}) GROUP BY check_name",
         "replayed_authors": f"WITH p AS (SELECT page_id, unnest(json_extract(payload, '$.results[*]')) AS r, generate_subscripts(json_extract(payload, '$.results[*]'), 1) AS i FROM raw_pages WHERE json_valid(payload)) SELECT page_id, (i - 1)::INT AS pos, {b('r->>' + repr('$.id'))} AS author, r->>'$.display_name' AS name FROM p WHERE {b('r->>' + repr('$.id'))} <> ''",
+        "representative_papers": _greedy_sql([("recent", 3), ("influential", 2), ("diversifying", 2), ("random", 1)]),
+        "candidate_pools": _greedy_sql([("recent", 10), ("influential", 6), ("diversifying", 4)]),
+        "focal_pairs": _FOCAL,
+        "margin_targets": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY professor_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) AS rn FROM professors WHERE professor_id IS NOT NULL) WHERE rn = 1),
+            t AS (SELECT unnest(['cs_ai', 'psychology', 'biomedicine']) AS field, 4 AS target) SELECT t.field, t.target, least(count(p.professor_id), 4) AS achieved, greatest(4 - count(p.professor_id), 0) AS unmet FROM t LEFT JOIN p USING (field) GROUP BY ALL""",
         "page_chain": "WITH RECURSIVE p AS (SELECT CASE page_id WHEN 1 THEN '*' ELSE 'cursor-' || page_id END AS cur, payload->>'$.meta.next_cursor' AS nxt FROM raw_pages), c AS (SELECT '*' AS cursor, 0::BIGINT AS steps UNION ALL SELECT p.nxt, c.steps + 1 FROM c JOIN p ON p.cur = c.cursor WHERE p.nxt IS NOT NULL) SELECT * FROM c",
     }
