@@ -42,8 +42,8 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return titles.select(F.lit("work").alias("record_type"), F.col("id").alias("record"), "group_id", "n_links").unionByName(texts.select(F.lit("abstract").alias("record_type"), F.col("id").alias("record"), "group_id", "n_links"))
 
 
-P6_FOUND_ORACLE = r"""
-WITH w AS (
+_PAIRS = r"""
+w AS (
   SELECT k, list_distinct(regexp_extract_all(lower(regexp_replace(title, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+')) AS t, publication_year AS y
   FROM (SELECT *, TRY_CAST(regexp_extract(id, '(\d+)/*$', 1) AS BIGINT) AS k,
                row_number() OVER (PARTITION BY regexp_extract(id, '([^/]+)/*$', 1) ORDER BY retrieved_at DESC, row_id DESC) AS rn FROM works_page)
@@ -60,7 +60,15 @@ e AS (SELECT k, list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for
 ee AS (SELECT k, len(t) AS n, unnest(t) AS x FROM e),
 ep AS (
   SELECT a.k AS id_a, b.k AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM ee a JOIN ee b ON a.x = b.x AND a.k < b.k GROUP BY ALL)
-SELECT 'work' AS record_type, id_a, id_b FROM wp WHERE c / (na + nb - c) >= 0.7
-UNION ALL SELECT 'abstract', id_a, id_b FROM ep WHERE c / (na + nb - c) >= 0.6
+  FROM ee a JOIN ee b ON a.x = b.x AND a.k < b.k GROUP BY ALL),
+pairs AS (SELECT 'work' AS record_type, id_a, id_b FROM wp WHERE c / (na + nb - c) >= 0.7
+  UNION ALL SELECT 'abstract', id_a, id_b FROM ep WHERE c / (na + nb - c) >= 0.6)
 """
+
+P6_FOUND_ORACLE = f"WITH {_PAIRS} SELECT * FROM pairs"
+
+#: Groups by walking the links from every record.
+P6_GROUPS_ORACLE = f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT record_type, id_a AS a, id_b AS b FROM pairs UNION ALL SELECT record_type, id_b, id_a FROM pairs),
+r AS (SELECT record_type, a AS record, b AS met FROM l UNION SELECT r.record_type, r.record, l.b FROM r JOIN l ON l.record_type = r.record_type AND l.a = r.met)
+SELECT r.record_type, r.record, least(min(r.met), r.record) AS group_id, any_value(n.n) AS n_links FROM r JOIN (SELECT record_type, a, count(*) AS n FROM l GROUP BY ALL) n ON n.record_type = r.record_type AND n.a = r.record
+GROUP BY r.record_type, r.record"""

@@ -23,6 +23,7 @@ def oracle_sql():
     return {
         "p1_found": professors.P1_FOUND_ORACLE,
         "p6_found": duplicates.P6_FOUND_ORACLE,
+        "p6_groups": duplicates.P6_GROUPS_ORACLE,
         "p7_found": papers.P7_ORACLE.format(columns="professor_id, paper_id"),
         "p7_selected": papers.P7_ORACLE.format(columns="professor_id, paper_id, complexity_score"),
         "p10_found": appearance.P10_FOUND_ORACLE,
