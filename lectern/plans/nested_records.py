@@ -175,9 +175,29 @@ WHERE parent_id IS NOT NULL AND child_id IS NOT NULL AND NOT (path LIKE '%.linea
 )
 
 
+_COUNTED = "SELECT '{path}' AS table_path, count(*) AS n_rows, count(DISTINCT {parent}) AS n_parents, max(o)::INT AS longest FROM {rows}"  # a null element is a row
+
+P2_CHILD_COUNTS_ORACLE = (
+    "WITH "
+    + _LATEST_AUTHOR
+    + """,
+n1 AS (SELECT record_id, unnest(lki) AS i, generate_subscripts(lki, 1) AS o FROM au), n2 AS (SELECT record_id, unnest(aff) AS i, generate_subscripts(aff, 1) AS o FROM au),
+k1 AS (SELECT record_id || '/' || o AS p, unnest(i.lineage) AS c, generate_subscripts(i.lineage, 1) AS o FROM n1), k2 AS (SELECT record_id || '/' || o AS p, unnest(i.lineage) AS c, generate_subscripts(i.lineage, 1) AS o FROM n2),
+n3 AS (SELECT record_id, unnest(authorships) AS i, generate_subscripts(authorships, 1) AS o FROM wk)
+"""
+    + " UNION ALL ".join(
+        _COUNTED.format(path=path, parent=parent, rows=rows)
+        for path, parent, rows in (
+            ("author.last_known_institutions", "record_id", "n1"), ("author.last_known_institutions.lineage", "p", "k1"), ("author.affiliations", "record_id", "n2"),
+            ("author.affiliations.institution_lineage", "p", "k2"), ("work.authorships", "record_id", "n3"),
+        )
+    )
+)
+
+
 def queries():
     return {"p2_found": p2_found, "p2_child_counts": p2_child_counts}
 
 
 def oracle_sql():
-    return {"p2_found": P2_FOUND_ORACLE}
+    return {"p2_found": P2_FOUND_ORACLE, "p2_child_counts": P2_CHILD_COUNTS_ORACLE}
