@@ -37,8 +37,12 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return each.join(own, "professor_id", "left").select(F.concat(F.lit("E"), "paper_key", F.lit("-"), (F.col("pos") + 1).cast("string")).alias("id"), "name", "own")
 
 
-def people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(id, center) of all profiles, and (id, center) of the entries that stand for one of them."""
+def people(spark: SparkSession, d: str, all_links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, center) of all profiles, and (id, center) of the entries that stand for one of them.
+
+    ``all_links`` links every two profiles of similar names, which is quadratic in the profiles of a name; it is there to
+    measure what linking with the best ones loses.
+    """
     names, about = _profiles(spark, d)
     entries = materialize(_entries(spark, d), "people-entries")
     parsed = materialize(parsed_names(names.select("name").union(entries.select("name"))), "people-parsed")
@@ -61,6 +65,8 @@ def people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     local = forms.select("form", "id", "rank", F.explode("places").alias("place")).groupBy(F.col("form").alias("form_b"), "place", F.col("rank.no_orcid").alias("open")).agg(best).select("form_b", "place", "b")
     from_a = pairs.join(forms.select(F.col("form").alias("form_a"), F.col("id").alias("a"), "places"), "form_a")
     links = from_a.join(every, "form_b").select("a", "b", "score")
+    if all_links:
+        links = from_a.join(forms.select(F.col("form").alias("form_b"), F.col("id").alias("b")), "form_b").select("a", "b", "score")
     links = links.unionByName(from_a.select("form_b", "a", "score", F.explode("places").alias("place")).join(local, ["form_b", "place"]).select("a", "b", "score"))
     links = links.filter("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
     x, y = rank.select(F.col("id").alias("a"), F.col("orcid").alias("oa"), F.col("places").alias("pa")), rank.select(F.col("id").alias("b"), F.col("orcid").alias("ob"), F.col("places").alias("pb"))
