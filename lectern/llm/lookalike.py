@@ -105,7 +105,8 @@ def block(c: Column | str) -> Column:
     table = {x: single.get(base.get(y, y), base.get(y, y)) for x, y in (base | single).items()}
     out = F.translate(_parted(c), "".join(table) + SPACES + INVISIBLE + none, "".join(table.values()) + " " * len(SPACES))
     rest = F.regexp_replace(out, r"^[ \t]+|[ \t]+$|[^\x00-\x7f\p{L}\p{N}]+|[\u1100-\u11ff\ua960-\ua97f\uac00-\ud7ff]+", "")
-    return F.xxhash64(rest)
+    # Nothing of that happens to ASCII, so texts of nothing else are hashed as they are.
+    return F.when(F.octet_length(c) == F.length(c), F.xxhash64(F.btrim(c, F.lit(" \t")))).otherwise(F.xxhash64(rest))
 
 
 def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:

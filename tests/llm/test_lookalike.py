@@ -73,3 +73,9 @@ def test_a_text_of_very_many_copies_is_compared_once(spark):
     df = spark.range(30_000).select("id", F.when(F.col("id") % 2 == 0, "same text").otherwise("same t\u0435xt").alias("t"))
     m = lookalike_classes(df, "id", "t")
     assert m.count() == 30_000 and m.select("text_id").distinct().count() == 2 and {r.canonical_key for r in m.select("canonical_key").distinct().collect()} == {0}
+
+
+def test_ascii_texts_share_blocks_with_their_look_alikes(spark):
+    rows = [(0, " \tplain text 5;K "), (1, "plain text 5\u037e\u212a"), (2, "\u200bplain\u00a0text 5;K"), (3, "plain text 5;k"), (4, ""), (5, "\u200b \t")]
+    b = {r.i: r.b for r in spark.createDataFrame(rows, "i int, t string").select("i", block("t").alias("b")).collect()}
+    assert b[0] == b[1] == b[2] != b[3] and b[4] == b[5] != b[3]
