@@ -101,9 +101,11 @@ def exchanged(seats: np.ndarray, least: np.ndarray, available: np.ndarray, membe
                 return [int(first), int(gain.argmax())]
         return None
 
+    least_missing = int(np.maximum(goal - member @ available, 0).sum())  # of records that there aren't
     while len(goal) and cells > 1:
         have = member @ seats
-        moves = step(have, missing(have[:, None])[0])
+        now = missing(have[:, None])[0]
+        moves = step(have, now) if now > least_missing else None
         if moves is None:
             return seats
         delta, moved = change[:, moves].sum(1), np.zeros(cells, np.int64)
