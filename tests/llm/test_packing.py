@@ -41,6 +41,24 @@ def test_everything_is_packed_once_and_tightly(spark):
     assert sum(load.values()) / (100 * len(load)) > 0.97
 
 
+def test_space_left_does_not_grow_with_partitions(spark):
+    _, df = items(spark, 3000, 4)
+    fill = []
+    for parts in (1, 40):
+        out = pack(df, "k", 100, parts).groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()
+        assert max(r.n for r in out) <= 100
+        fill.append(sum(r.n for r in out) / (100 * len(out)))
+    assert fill[1] > fill[0] - 0.01 and fill[0] > 0.97
+
+
+def test_items_of_no_tokens_share_a_container(spark):
+    rows = [(i, 0 if i % 3 else 20, 0.0, 0.0, 0.0, 0.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, n_tokens long, v0 float, v1 float, v2 float, v3 float")
+    out = pack(df, "k", 100, 3)
+    assert out.count() == 60 and out.select("container_id").distinct().count() == 4
+    assert {tuple(r) for r in pack(df.filter("n_tokens = 0"), "k", 100).select("container_id", "piece", "pieces", "n_tokens").collect()} == {("0-0-0", 1, 1, 0)}
+
+
 def test_equal_vectors_null_keys_and_empty(spark):
     rows = [(None if i % 2 else 1, 10, 0.0, 0.0, 0.0, 0.0) for i in range(50)]
     df = spark.createDataFrame(rows, "k long, n_tokens long, v0 float, v1 float, v2 float, v3 float")
