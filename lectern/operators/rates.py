@@ -5,9 +5,9 @@ All of them are two-level: counts per email first, so that an email's words coun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.labels import is_factual, is_severe
@@ -51,6 +51,16 @@ def edit_rates(edits: DataFrame, group: Sequence[str], action: str) -> DataFrame
     )
 
 
+def wide_counts(df: DataFrame, row: str, column: str, counts: Mapping[str, Column]) -> DataFrame:
+    """One row per ``row``, and for every value of ``column`` that occurs a column ``<value>_<name>`` of each count; 0 where
+    there is nothing.  Rows with a null in ``column`` belong to no column."""
+    df = df.filter(F.col(column).isNotNull())
+    wide = df.groupBy(row).pivot(column).agg(*[c.alias(name) for name, c in counts.items()])
+    if len(counts) == 1:  # the engine names such columns by their value alone
+        wide = wide.select(row, *[F.col(f"`{c}`").alias(f"{c}_{next(iter(counts))}") for c in wide.columns if c != row])
+    return wide.fillna(0)
+
+
 def leave_one_out(totals: DataFrame, group: str, left_out: str, sums: Sequence[str]) -> DataFrame:
     """For each value of ``left_out``, the sums of all its siblings in the group: total minus own, no join of the rows."""
     whole = totals.groupBy(group).agg(*[F.sum(s).alias(f"all_{s}") for s in sums])

@@ -62,10 +62,14 @@ def evaluator_by_condition(spark, d):
 
 
 def field_by_condition_pivot(spark, d):
-    """Severe and factual claims by field, a pair of columns for every condition there is."""
-    c = claims(spark, d).filter("condition IS NOT NULL")
-    c = c.withColumn("condition", F.regexp_replace("condition", "[^A-Za-z0-9]", "_"))
-    return c.groupBy("field").pivot("condition").agg(F.count_if(is_severe("label_1")).alias("severe"), F.count_if(is_factual("label_1")).alias("factual")).fillna(0)
+    """Severe and factual claims of every field under every condition there is, cells without a claim among them."""
+    c = claims(spark, d).filter("condition IS NOT NULL AND field IS NOT NULL")
+    n = {"severe": F.count_if(is_severe("label_1")), "factual": F.count_if(is_factual("label_1"))}
+    wide = rates.wide_counts(c, "field", "condition", n)
+    conditions = [x.removesuffix("_severe") for x in wide.columns if x.endswith("_severe")]
+    cells = [F.struct(F.lit(x).alias("condition"), *[F.col(f"`{x}_{k}`").alias(k) for k in n]) for x in conditions]
+    none = "array<struct<condition: string, severe: bigint, factual: bigint>>"
+    return wide.select("field", F.explode(F.array(*cells).cast(none)).alias("x")).select("field", "x.*")
 
 
 def _labelled(spark, d) -> DataFrame:
@@ -312,7 +316,9 @@ def oracle_sql():
         "label_rate": f"""WITH {_CLAIMS} SELECT condition, """ + ", ".join(f"round(count(*) FILTER (coalesce(label_1 = '{t}', false)) / nullif(count(*) FILTER ({_F1}), 0)::DOUBLE, 9) AS {t}_rate" for t in ("supported", "overstated", "unsupported")) + " FROM cl GROUP BY condition",
         "evaluator_by_condition": f"""WITH {_CLAIMS}, b AS (SELECT 'first' AS evaluator, condition, label_1 AS l FROM cl UNION ALL SELECT 'second', condition, label_2 FROM cl)
             SELECT evaluator, condition, count(*) FILTER ({_FACT.format(c="l")}) AS n_factual, count(*) FILTER ({_SEV.format(c="l")}) AS n_severe, round(n_severe / nullif(n_factual, 0)::DOUBLE, 9) AS severe_error_rate FROM b GROUP BY ALL""",
-        "field_by_condition_pivot": f"WITH {_CLAIMS} SELECT field, " + ", ".join(f"count(*) FILTER (condition = 'batch-{x}' AND {_S1}) AS batch_{x}_severe, count(*) FILTER (condition = 'batch-{x}' AND {_F1}) AS batch_{x}_factual" for x in "abcd") + " FROM cl GROUP BY field",
+        "field_by_condition_pivot": f"""WITH {_CLAIMS}, c AS (SELECT * FROM cl WHERE condition IS NOT NULL AND field IS NOT NULL)
+            SELECT f.field, k.condition, count(*) FILTER ({_S1}) AS severe, count(*) FILTER ({_F1}) AS factual
+            FROM (SELECT DISTINCT field FROM c) f CROSS JOIN (SELECT DISTINCT condition FROM c) k LEFT JOIN c ON c.field = f.field AND c.condition = k.condition GROUP BY ALL""",
         "fisher_deletions": f"""WITH {_EDITS}, n AS (SELECT count(*) FILTER (condition = 'C' AND action = 'delete') AS C1, count(*) FILTER (condition = 'C' AND action <> 'delete') AS C0, count(*) FILTER (condition = 'D' AND action = 'delete') AS D1, count(*) FILTER (condition = 'D' AND action <> 'delete') AS D0 FROM ed),
             m AS (SELECT *, C1 + C0 AS r, D1 + D0 AS q, C1 + D1 AS k FROM n), x AS (SELECT m.*, unnest(range(greatest(0, k - q), least(k, r) + 1)) AS i FROM m),
             l AS (SELECT *, lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(q + 1) - lgamma(k - i + 1) - lgamma(q - k + i + 1) - lgamma(r + q + 1) + lgamma(k + 1) + lgamma(r + q - k + 1) AS lp FROM x), o AS (SELECT lp AS seen FROM l WHERE i = C1)

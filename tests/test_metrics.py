@@ -69,3 +69,13 @@ def test_pair_similarity_without_pairs(spark):
         ts = [t for o, t in items if o == owner]
         scores = [0 if a is None or b is None else 1.0 if a == b else 0.85 if a[:-1] == b[:-1] else 0.7 if a[:-2] == b[:-2] else 0 for i, a in enumerate(ts) for b in ts[i + 1 :]]
         assert got[owner] == pytest.approx(sum(scores) / len(scores)) and not math.isnan(got[owner]) and json.dumps(got[owner])
+
+
+def test_wide_counts_has_every_condition_there_is(spark):
+    from lectern.operators.rates import wide_counts
+
+    df = spark.createDataFrame([("f", "A", 1), ("f", "E 5", 0), ("g", "A", 1), ("g", None, 1), ("f", "A", 1)], "field string, condition string, s int")
+    got = {r.field: r.asDict() for r in wide_counts(df, "field", "condition", {"n": F.count(F.lit(1)), "s": F.count_if(F.col("s") == 1)}).collect()}
+    assert got == {"f": {"field": "f", "A_n": 2, "A_s": 2, "E 5_n": 1, "E 5_s": 0}, "g": {"field": "g", "A_n": 1, "A_s": 1, "E 5_n": 0, "E 5_s": 0}}
+    assert wide_counts(df, "field", "condition", {"n": F.count(F.lit(1))}).columns == ["field", "A_n", "E 5_n"]
+    assert wide_counts(df.limit(0), "field", "condition", {"n": F.count(F.lit(1))}).count() == 0
